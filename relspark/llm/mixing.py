@@ -2,8 +2,11 @@
 
 Each source is to give a share of all words. Its documents start with the copy number target / source size; the
 fractional parts are rounded in pairs: a random transfer that keeps the pair's expected words makes one of the two
-integral. A task rounds the documents of one bucket and leaves at most one fractional document for each source;
-those residuals meet in a reduction tree of fixed fan-in, so no task ever holds more than a bucket or a fan of them.
+integral. Within a bucket, where the parts of a source are equal, the largest document left is paired with all the
+smaller ones as one partner, which share the transfer in proportion and so go on with equal parts; the last and smallest
+stays fractional. Those residuals, at most one for each source and bucket, meet document by document in a reduction tree
+of fixed fan-in, so no task ever holds more than a bucket or a fan of them, and a source misses its target by a short
+document rather than a long one.
 
 Defined cases: a null text has size 0 and takes 0 words; a null source is a source of its own, the last in order;
 repeated rows are rounded one by one; an empty table gives an empty result. The random numbers depend on the seed, the
@@ -89,22 +92,35 @@ def pivot(sizes: list[int], parts: list[float], rng: random.Random) -> tuple[lis
     return out, open_at, p
 
 
+def settle(sizes: list[int], part: float, rng: random.Random) -> tuple[list[int], int | None, float]:
+    """As pivot, for documents of one common part in falling order of size: each is made integral against all that follow."""
+    out, mass, rest = [0] * len(sizes), part * sum(sizes), sum(sizes)
+    for i, s in enumerate(sizes):
+        p = min(1.0, max(0.0, mass / rest)) if rest else part
+        if s == rest and s > 0 and TINY < p < 1 - TINY:
+            return [*out[:i], *[int(rng.random() < part) for _ in out[i:]]], i, p
+        out[i] = int(rng.random() < p)
+        mass, rest = mass - out[i] * s, rest - s
+    return out, None, 0.0
+
+
 #: copies is the whole part so far; part is what is still to be rounded, null once it is decided.
 STATE = "doc_id long, rank long, size long, source_size long, target double, bucket long, copies long, part double"
 
 
 def rounder(seed: int, level: int, last: bool):
-    """For applyInPandas: rounds the rows of a bucket, source by source, in order of size and id."""
+    """For applyInPandas: rounds the rows of a bucket, source by source, in falling order of size, then by id."""
 
     def of(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["rank", "size", "doc_id", "copies", "part"], kind="stable").reset_index(drop=True)
+        pdf = pdf.sort_values(["rank", "size", "doc_id", "copies", "part"], ascending=[True, False, True, True, True], kind="stable").reset_index(drop=True)
         copies, parts = pdf["copies"].tolist(), [None] * len(pdf)
         for rank, rows in pdf.groupby("rank", sort=True).groups.items():
             rows = list(rows)
             rng = random.Random(f"{seed}:{level}:{pdf['bucket'].iat[0]}:{rank}")
-            more, at, p = pivot(pdf["size"].loc[rows].tolist(), pdf["part"].loc[rows].tolist(), rng)
-            for i, m in zip(rows, more, strict=True):
-                copies[i] += m
+            sizes, given = pdf["size"].loc[rows].tolist(), pdf["part"].loc[rows].tolist()
+            more, at, p = pivot(sizes, given, rng) if level else settle(sizes, given[0], rng)
+            for i, (row, m) in enumerate(zip(rows, more, strict=True)):
+                copies[row] += m if i != at else 0
             if at is not None:
                 if last:
                     copies[rows[at]] += int(rng.random() < p)
