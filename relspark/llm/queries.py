@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import mixing, quality, sharding, urlfilter
+from pyspark.sql import functions as F
+
+from . import mixing, packing, quality, sharding, tokens, urlfilter
 from .common import table
 
 
@@ -21,11 +23,23 @@ def op5_quality_rules(spark, sf_dir):
     )
 
 
+def op6_best_fit_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op3_url_filter, op5_quality_rules, op7_mixing)}
+def op9_token_counts(spark, sf_dir):
+    """Two edits of every document: its first line goes, and the ten characters in its middle become a mark."""
+    n = F.length("text")
+    line = F.struct(F.lit(0).alias("start"), F.locate("\n", F.col("text")).alias("stop"), F.lit("").alias("replacement"))
+    mark = F.struct(F.floor(n / 2).cast("int").alias("start"), (F.floor(n / 2) + 10).cast("int").alias("stop"), F.lit("[removed]").alias("replacement"))
+    return tokens.count_tokens(table(spark, sf_dir, "documents"), edits=F.array(line, mark))
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op3_url_filter, op5_quality_rules, op6_best_fit_packing, op7_mixing, op9_token_counts)}
 
 RULE_ROWS = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in urlfilter.RULES)
 OP3 = f"""
