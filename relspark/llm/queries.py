@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import mixing, packing, quality, sharding, tokens, urlfilter
+from . import mixing, packing, quality, sharding, tokens, toxicity, urlfilter
 from .common import table
 
 
@@ -31,6 +31,10 @@ def op7_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op8_toxicity(spark, sf_dir):
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_token_counts(spark, sf_dir):
     """Two edits of every document: its first line goes, and the ten characters in its middle become a mark."""
     n = F.length("text")
@@ -39,7 +43,7 @@ def op9_token_counts(spark, sf_dir):
     return tokens.count_tokens(table(spark, sf_dir, "documents"), edits=F.array(line, mark))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op3_url_filter, op5_quality_rules, op6_best_fit_packing, op7_mixing, op9_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op3_url_filter, op5_quality_rules, op6_best_fit_packing, op7_mixing, op8_toxicity, op9_token_counts)}
 
 RULE_ROWS = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in urlfilter.RULES)
 OP3 = f"""
