@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import mixing, packing, quality, sharding, tokens, toxicity, urlfilter
+from . import mixing, packing, quality, sharding, tokens, topk, toxicity, urlfilter
 from .common import table
 
 
@@ -43,7 +43,11 @@ def op9_token_counts(spark, sf_dir):
     return tokens.count_tokens(table(spark, sf_dir, "documents"), edits=F.array(line, mark))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op3_url_filter, op5_quality_rules, op6_best_fit_packing, op7_mixing, op8_toxicity, op9_token_counts)}
+def op10_topk_search(spark, sf_dir):
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op3_url_filter, op5_quality_rules, op6_best_fit_packing, op7_mixing, op8_toxicity, op9_token_counts, op10_topk_search)}
 
 RULE_ROWS = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in urlfilter.RULES)
 OP3 = f"""
@@ -81,4 +85,14 @@ WITH w AS (
 ), f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {LIMITS} AS kept FROM f
 """
-ORACLE_SQL = {"op3_url_filter": OP3, "op5_quality_rules": OP5}
+OP10 = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.q::DOUBLE[], b.q::DOUBLE[])::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0
+), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+ORACLE_SQL = {"op10_topk_search": OP10, "op3_url_filter": OP3, "op5_quality_rules": OP5}
