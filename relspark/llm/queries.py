@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import mixing, packing, quality, sharding, tokens, topk, toxicity, urlfilter
+from . import mixing, packing, pii, quality, sharding, tokens, topk, toxicity, urlfilter
 from .common import table
 
 
@@ -17,6 +17,10 @@ def op3_url_filter(spark, sf_dir):
     return urlfilter.filter_urls(table(spark, sf_dir, "pages"), rules)
 
 
+def op4_pii(spark, sf_dir):
+    return pii.detect(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark, sf_dir):
     return quality.judge(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
@@ -47,7 +51,7 @@ def op10_topk_search(spark, sf_dir):
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op3_url_filter, op5_quality_rules, op6_best_fit_packing, op7_mixing, op8_toxicity, op9_token_counts, op10_topk_search)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op3_url_filter, op4_pii, op5_quality_rules, op6_best_fit_packing, op7_mixing, op8_toxicity, op9_token_counts, op10_topk_search)}
 
 RULE_ROWS = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in urlfilter.RULES)
 OP3 = f"""
