@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import mixing, packing, pii, quality, sharding, tokens, topk, toxicity, urlfilter
+from . import jaccard, mixing, packing, pii, quality, sharding, tokens, topk, toxicity, urlfilter
 from .common import table
 
 
@@ -12,6 +12,10 @@ def op1_sharding(spark, sf_dir):
     return sharding.shard(table(spark, sf_dir, "documents"), shards=16)
 
 
+def op2_ngram_jaccard_join(spark, sf_dir):
+    return jaccard.join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op3_url_filter(spark, sf_dir):
     rules = spark.createDataFrame(list(urlfilter.RULES), urlfilter.RULE_TYPE)
     return urlfilter.filter_urls(table(spark, sf_dir, "pages"), rules)
@@ -51,7 +55,7 @@ def op10_topk_search(spark, sf_dir):
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op3_url_filter, op4_pii, op5_quality_rules, op6_best_fit_packing, op7_mixing, op8_toxicity, op9_token_counts, op10_topk_search)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_ngram_jaccard_join, op3_url_filter, op4_pii, op5_quality_rules, op6_best_fit_packing, op7_mixing, op8_toxicity, op9_token_counts, op10_topk_search)}
 
 RULE_ROWS = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in urlfilter.RULES)
 OP3 = f"""
@@ -89,6 +93,22 @@ WITH w AS (
 ), f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {LIMITS} AS kept FROM f
 """
+OP2 = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), g AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' ')) END) AS s FROM w
+), n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id
+), o AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM g a JOIN g b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL
+), l AS (
+  SELECT x, y FROM o JOIN n p ON x = p.doc_id JOIN n q ON y = q.doc_id WHERE 100 * k >= 75 * (p.n + q.n - k)
+), r(x, y) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x
+)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id
+FROM documents d LEFT JOIN n ON d.doc_id = n.doc_id JOIN (SELECT x, min(y) AS component_id FROM r GROUP BY x) c ON d.doc_id = c.x
+"""
 OP10 = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q FROM embeddings
@@ -99,4 +119,4 @@ WITH v AS (
 ), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
-ORACLE_SQL = {"op10_topk_search": OP10, "op3_url_filter": OP3, "op5_quality_rules": OP5}
+ORACLE_SQL = {"op2_ngram_jaccard_join": OP2, "op10_topk_search": OP10, "op3_url_filter": OP3, "op5_quality_rules": OP5}
