@@ -267,6 +267,11 @@ def may_be_in(rows: DataFrame, key: str, keys: DataFrame, bits: int = 1 << 23) -
     return marked.where(F.expr("(_m & shiftleft(1L, cast(_h % 64 as int))) <> 0")).drop("_h", "_w", "_m")
 
 
+def row_key(doc_id, text):
+    """A hash of a row's id and text, the same whenever it is computed."""
+    return F.xxhash64(F.coalesce(doc_id.cast("long"), F.lit(-1)), text)
+
+
 class Join:
     """One run over one table of documents."""
 
@@ -274,7 +279,7 @@ class Join:
         self.law, self.width, self.short = Bound(part, whole), width, short
         self.most_frequent, self.bucket_postings = most_frequent, bucket_postings
         text = whole_text(text_col)
-        key = F.xxhash64(F.coalesce(F.col(id_col).cast("long"), F.lit(-1)), text)
+        key = row_key(F.col(id_col), text)
         self.docs = docs.select(key.alias("key"), F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
         self.spark = docs.sparkSession
 
@@ -283,7 +288,7 @@ class Join:
         every = written(self.docs.mapInArrow(signer(self.width), SQL(SIGNED)), "signed")
         self.rows = every.where("shingle is null")
         filled = self.rows.where("sig is not null")
-        self.sets = written(filled.groupBy("sig").agg(F.min("doc_id").alias("least"), F.min("key").alias("key"), F.first("n").alias("n")), "sets")
+        self.sets = written(filled.groupBy("sig").agg(F.min(first_row()).alias("least"), F.min("key").alias("key"), F.first("n").alias("n")), "sets")
         often = every.where("shingle is not null").groupBy("shingle").agg(F.sum("n").alias("n")).where("n >= 8")
         top = often.orderBy(F.desc("n"), "shingle").limit(self.most_frequent).collect()
         values = np.array([r["shingle"] for r in top], dtype=np.int64).view(np.uint64)
@@ -373,9 +378,15 @@ class Join:
             labels = written(components(links, "a", "b"), "labels")
         named = self.sets.select("sig", "least").join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
         named = written(named, "named")
-        ids = named.groupBy("label").agg(F.min("least").alias("component_id"))
-        per_set = written(named.join(ids, "label").select("sig", "component_id"), "set-components")
-        return self.rows.join(per_set, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "key")
+        ids = named.groupBy("label").agg(F.min("least").alias("first"))
+        per_set = written(named.join(ids, "label").select("sig", "first"), "set-components")
+        first = F.coalesce("first", first_row())
+        return self.rows.join(per_set, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), first["doc_id"].alias("component_id"), "key", first["key"].alias("first_key"))
+
+
+def first_row():
+    """For the order of rows: by id, those without one last, then by key."""
+    return F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("doc_id"), F.col("key").alias("key"))
 
 
 UNPACKED = "list long, sig long, n long, p long"
@@ -429,5 +440,13 @@ def SQL(schema: pa.Schema) -> str:  # noqa: N802
 def join(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, part: int = 75, whole: int = 100, most_frequent: int = 65_536, short: int = 8, bucket_postings: int = 250_000
 ) -> DataFrame:
-    """Per row of docs: doc_id, n_shingles, component_id (the smallest id that links lead to), and key (a hash of id and text)."""
+    """Per row of docs: doc_id, n_shingles, component_id (the smallest id that links lead to), key and first_key (hashes of the row's and of the component's first id and text)."""
     return Join(docs, id_col, text_col, width, part, whole, most_frequent, short, bucket_postings).run()
+
+
+def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The rows of docs, with all their columns, that are the first of their component; of rows with equal ids and texts one. docs has no column _key."""
+    found = join(docs, id_col, text_col, **how)
+    stays = found.where("key = first_key").select(F.col("key").alias("_key")).distinct()
+    keyed = docs.withColumn("_key", row_key(F.col(id_col), whole_text(text_col)))
+    return keyed.join(stays, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")

@@ -173,3 +173,13 @@ def mix(
     for d in decided[1:]:
         out = out.unionByName(d)
     return out.select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def mixed(docs: DataFrame, text_col: str = "text", **how) -> DataFrame:
+    """The rows of docs, with all their columns, each as often as the mix takes it. docs has no column _key or _copies."""
+    key = F.xxhash64(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\0")) for c in docs.columns])
+    keyed = docs.withColumn("_key", key)
+    copies = mix(keyed, id_col="_key", text_col=text_col, **how).groupBy(F.col("doc_id").alias("_key")).agg(F.sum("copies").alias("_copies")).where("_copies > 0")
+    # repeated rows share a key, and their copies have been added up
+    taken = keyed.dropDuplicates(["_key"]).join(copies, "_key")
+    return taken.withColumn("_copies", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -120,3 +120,9 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules
     """Per row: the measures, base_failed, and kept."""
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return measured(docs, id_col, text_col).withColumn("base_failed", failed).withColumn("kept", ~failed & compiled(rules))
+
+
+def kept(docs: DataFrame, text_col: str = "text", rules=RULES) -> DataFrame:
+    """The rows of docs, with all their columns, that the base rule and the threshold table let pass."""
+    rows = docs.select(F.struct("*").alias("_row"), F.col(text_col).alias("_of"))
+    return judge(rows, "_row", "_of", rules).where("kept").select("_row.*")
