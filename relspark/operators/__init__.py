@@ -1 +1 @@
-
+"""Relational operators as DataFrame transformations."""

@@ -1 +1 @@
-
+"""Tables that grow: new rows of a typed table as they are inserted."""
