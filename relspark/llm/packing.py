@@ -27,6 +27,10 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task
 PIECE_ARROW = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("task", pa.int32()), ("place", pa.int64())])
 
 
+#: Rows of (task, length) that may be sent to every task, 24 bytes each.
+SENT_OUT = 1_000_000
+
+
 def cutter(vocabulary: str, end_id: int, width: int):
     """For mapInArrow over (doc_id, text): a row for each piece; place is its rank among the task's pieces of its length."""
 
@@ -129,9 +133,11 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     by_task = pieces.groupBy("task", "length").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     starts = by_task.select("task", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    count = [0] * (width + 1)
-    for n, k in by_task.groupBy("length").agg(F.sum("n")).collect():
-        count[n] = k
+    count, tasks = [0] * (width + 1), 0
+    for n, k, t in by_task.groupBy("length").agg(F.sum("n"), F.count(F.lit(1))).collect():
+        count[n], tasks = k, tasks + t
+    if tasks <= SENT_OUT:  # else the pieces are shuffled to their starts
+        starts = F.broadcast(starts)
     table = docs.sparkSession.createDataFrame(plan(count, width), PLAN)
     ranked = pieces.join(starts, ["task", "length"]).withColumn("rank", F.col("first") + F.col("place"))
     inside = F.col("rank") - F.col("low")
