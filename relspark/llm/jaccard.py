@@ -4,10 +4,13 @@ Equal sets are one set. Shingles are ordered from rare to frequent, and each set
 share one. A shingle's list in the index is in blocks of one set size, and in a block by position, so that of every block only
 the start is read: beyond the position where too little could still be shared, the rest of the block is skipped.
 
-Work on a list is linear first: its members meet one hub, the same in most lists of similar sets. The hubs' answers are computed and
-give components. Only lists that still hold different components go on to pairs across them. Their answers are derived from the
-hub's: if x differs from its hub h by few shingles, what x shares with y is known from what h shares with y up to those, and
-only where that leaves it open are the two sets compared.
+Work on a list is linear first: its members meet one hub, the one that most lists of the bucket share. The hubs' answers are
+computed and give components. Only lists that still hold different components go on. A list with few pairs that sizes and
+positions leave possible across components has these compared. Other lists whose hubs are in one component form a family with one hub, and what two of its members x and y share is derived from what they share with the hub h: with the shingles of h that x lacks, and
+those it has beyond h, both few if x is much like h, it is |h| less what either lacks, plus what both lack, plus what both have beyond h.
+Before whole sets are sent anywhere, their bitmaps are: a bit that x has and y lacks stands for at least one shingle that y lacks, which
+bounds from above what they share, and pairs whose bound is too low are done with.
+Members of the family's largest component need no comparison with each other; the others meet all members in cells of bounded size.
 
 The order of shingles affects speed alone: frequent ones are those that tasks saw often; no more than ``most_frequent`` of them are sent out.
 
@@ -59,7 +62,22 @@ class Bound:
 
 # first pass: sizes, signatures, frequent shingles
 
-SIGNED = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("sig", pa.int64()), ("shingle", pa.int64())])
+SIGNED = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("sig", pa.int64()), ("shingle", pa.int64()), ("bits", pa.binary())])
+
+
+def bitmap(s: np.ndarray) -> bytes:
+    """A bit for each shingle's low bits, among at least twice as many; half as many bits come from laying one half over the other."""
+    held = np.zeros(max(64, 1 << (2 * len(s) - 1).bit_length()), dtype=bool)
+    held[(s & U(len(held) - 1)).astype(np.int64)] = True
+    return np.packbits(held, bitorder="little").tobytes()
+
+
+def folded(bits: np.ndarray, size: int) -> np.ndarray:
+    """A bitmap (or rows of them) of bytes, laid over itself to ``size`` bytes."""
+    while bits.shape[-1] > size:
+        half = bits.shape[-1] // 2
+        bits = bits[..., :half] | bits[..., half:]
+    return bits
 
 
 def signer(width: int, seen_often: int = 4, held: int = 2_000_000):
@@ -72,15 +90,16 @@ def signer(width: int, seen_often: int = 4, held: int = 2_000_000):
             values, counts = np.unique(np.concatenate(kept), return_counts=True)
             values, counts = values[counts >= seen_often], counts[counts >= seen_often]
             none = pa.nulls(len(values), pa.int64())
-            return batch(SIGNED, none, none, counts.astype(np.int64), none, values.view(np.int64))
+            return batch(SIGNED, none, none, counts.astype(np.int64), none, values.view(np.int64), pa.nulls(len(values), pa.binary()))
 
         for b in batches:
             keys, ids, texts = batch_columns(b, "key", "doc_id", "text")
-            ns, sigs = [], []
+            ns, sigs, bits = [], [], []
             for s in shingles.sets(texts, width):
                 sig = shingles.signature(s)
                 ns.append(len(s))
                 sigs.append(sig if len(s) else None)
+                bits.append(bitmap(s) if len(s) and sig not in known else None)
                 if len(s) and sig not in known:
                     known.add(sig)
                     kept.append(s)
@@ -89,7 +108,7 @@ def signer(width: int, seen_often: int = 4, held: int = 2_000_000):
                         yield often()
                         kept, size = [], 0
             if b.num_rows:
-                yield batch(SIGNED, keys, ids, ns, sigs, pa.nulls(b.num_rows, pa.int64()))
+                yield batch(SIGNED, keys, ids, ns, sigs, pa.nulls(b.num_rows, pa.int64()), bits)
         if kept:
             yield often()
 
@@ -156,8 +175,21 @@ def pair_rows(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> p
     return batch(PAIR, np.zeros(len(a), dtype=np.int32), a, b, na.astype(np.int64), nb.astype(np.int64), pa.nulls(len(a), pa.binary()))
 
 
-def hub_order(s: np.ndarray) -> np.ndarray:
-    return shingles.mix(s.view(np.uint64))
+def in_reach(law: Bound, n: np.ndarray, p: np.ndarray, hub: int) -> np.ndarray:
+    """Of a list in order of size, then position: the places of those that can be similar to the one at ``hub``.
+
+    Blocks of sizes too far from the hub's are skipped, and of the others all beyond the last position that leaves enough to share.
+    """
+    out = []
+    sizes, first = np.unique(n, return_index=True)
+    last = np.r_[first[1:], len(n)]
+    low, high = np.searchsorted(sizes, -(-n[hub] * law.part // law.whole)), np.searchsorted(sizes, n[hub] * law.whole // law.part, "right")
+    for k in range(low, high):
+        need = law.overlap(n[hub], sizes[k])
+        if n[hub] - p[hub] >= need:
+            out.append(np.arange(first[k], first[k] + np.searchsorted(p[first[k] : last[k]], sizes[k] - need, "right")))
+    at = np.concatenate(out) if out else np.zeros(0, dtype=np.int64)
+    return at[at != hub]
 
 
 def lister(law: Bound, short: int):
@@ -165,7 +197,7 @@ def lister(law: Bound, short: int):
 
     def of(table: pa.Table) -> pa.Table:
         rows = np.concatenate([np.frombuffer(x, dtype=POSTING) for x in table["postings"].to_pylist()])
-        rows = rows[np.lexsort((rows["s"], rows["p"], rows["n"], rows["t"]))]
+        rows = rows[np.lexsort((rows["s"], rows["p"], rows["n"], rows["t"]))]  # lists of blocks of one size, by position
         t, s, n, p = rows["t"], rows["s"], rows["n"].astype(np.int64), rows["p"].astype(np.int64)
         same = np.r_[False, (t[1:] == t[:-1]) & (s[1:] == s[:-1])]
         t, s, n, p = t[~same], s[~same], n[~same], p[~same]
@@ -186,12 +218,13 @@ def lister(law: Bound, short: int):
             right.append(j[ok])
         long_lists: dict[bytes, np.ndarray] = {}
         starts = np.flatnonzero(np.r_[True, t[1:] != t[:-1]]) if len(t) else np.zeros(0, dtype=np.int64)
+        names, name_of, weight = np.unique(s, return_inverse=True, return_counts=True)
         for a in starts[each[starts] > short]:
             at = np.arange(a, a + each[a])
-            hub = a + int(np.argmin(hub_order(s[at])))
-            ok = law.fits(n[at], n[hub], p[at], p[hub]) & (at != hub)
-            left.append(np.full(int(ok.sum()), hub))
-            right.append(at[ok])
+            hub = int(np.lexsort((s[at], weight[name_of[at]]))[-1])
+            near = at[in_reach(law, n[at], p[at], hub)]
+            left.append(np.full(len(near), a + hub))
+            right.append(near)
             order = np.argsort(s[at])
             kept = np.empty(len(at), dtype=POSTING)
             kept["t"], kept["s"], kept["n"], kept["p"] = 0, s[at][order], n[at][order], p[at][order]
@@ -251,6 +284,123 @@ def checker(law: Bound):
     return of
 
 
+def screener(law: Bound):
+    """For mapInArrow over pairs with both bitmaps: those that may still be similar."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            na, nb, xs, ys = batch_columns(b, "na", "nb", "bits_a", "bits_b")
+            stay = []
+            for n, m, x, y in zip(na.to_pylist(), nb.to_pylist(), xs.to_pylist(), ys.to_pylist(), strict=True):
+                size = min(len(x), len(y))
+                x, y = folded(np.frombuffer(x, dtype=np.uint8), size), folded(np.frombuffer(y, dtype=np.uint8), size)
+                both = int(np.bitwise_count(x & y).sum())
+                most = min(n - int(np.bitwise_count(x).sum()) + both, m - int(np.bitwise_count(y).sum()) + both)
+                stay.append(most >= law.overlap(n, m))
+            yield b.select(["a", "b", "na", "nb"]).filter(pa.array(stay, pa.bool_()))
+
+    return of
+
+
+CELL = pa.schema([("hub", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("sig", pa.int64()), ("label", pa.int64()), ("side", pa.int32())])
+CELL_SQL = "hub long, c1 long, c2 long, sig long, label long, side int"
+
+
+def meets(law: Bound, x: tuple, y: tuple) -> np.ndarray:
+    """Of (bitmaps, sizes) against (bitmaps, sizes), all bitmaps of equal length: which may be similar."""
+    (a, n), (b, m) = x, y
+    both = np.zeros((len(a), len(b)), dtype=np.float32)
+    for i in range(0, a.shape[1], 512):
+        both += np.unpackbits(a[:, i : i + 512], axis=1).astype(np.float32) @ np.unpackbits(b[:, i : i + 512], axis=1).astype(np.float32).T
+    only_a, only_b = n - np.bitwise_count(a).sum(axis=1, dtype=np.int64), m - np.bitwise_count(b).sum(axis=1, dtype=np.int64)
+    both = np.rint(both).astype(np.int64)
+    most = np.minimum(only_a[:, None] + both, only_b[None, :] + both)
+    return most >= law.overlap(n[:, None], m[None, :])
+
+
+def sifter(law: Bound):
+    """For applyInArrow over two cells of a family with their bitmaps: the members that may be similar to one of another component."""
+
+    def of(table: pa.Table) -> pa.Table:
+        n, label, side = (table[c].to_numpy() for c in ("n", "label", "side"))
+        bits = table["bits"].to_pylist()
+        classes: dict[tuple[int, int], list[int]] = {}
+        for i, x in enumerate(bits):
+            classes.setdefault((int(side[i]), len(x)), []).append(i)
+        stacked = {k: np.frombuffer(b"".join(bits[i] for i in rows), dtype=np.uint8).reshape(len(rows), -1) for k, rows in classes.items()}
+        other, stay = int(side.max()), np.zeros(len(n), dtype=bool)
+        for (s1, z1), one in classes.items():
+            for (s2, z2), two in classes.items():
+                # sizes that may be similar have bitmaps of equal length, or one twice the other's
+                if s1 == 0 and s2 == other and max(z1, z2) <= 2 * min(z1, z2):
+                    size = min(z1, z2)
+                    ok = meets(law, (folded(stacked[s1, z1], size), n[one]), (folded(stacked[s2, z2], size), n[two]))
+                    ok &= label[one][:, None] != label[two][None, :]
+                    stay[np.array(one)[ok.any(axis=1)]] = True
+                    stay[np.array(two)[ok.any(axis=0)]] = True
+        return table.select(CELL.names).filter(pa.array(stay)).cast(CELL)
+
+    return of
+
+
+LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def incidence(rows: list[np.ndarray], least: int) -> np.ndarray:
+    """Rows by values: 1 where a row has the value; values that fewer than ``least`` rows have are left out."""
+    every = np.concatenate(rows) if rows else np.zeros(0, dtype=np.uint64)
+    values, place, count = np.unique(every, return_inverse=True, return_counts=True)
+    column = np.cumsum(count >= least) - 1
+    keep = count[place] >= least
+    out = np.zeros((len(rows), int((count >= least).sum())), dtype=np.float32)
+    out[np.repeat(np.arange(len(rows)), [len(r) for r in rows])[keep], column[place][keep]] = 1
+    return out
+
+
+def product(a: np.ndarray, b: np.ndarray, width: int = 2048) -> np.ndarray:
+    out = np.zeros((len(a), len(b)), dtype=np.float64)
+    for i in range(0, a.shape[1], width):
+        out += a[:, i : i + width] @ b[:, i : i + width].T
+    return out
+
+
+def relater(law: Bound):
+    """For applyInArrow over two cells of a family (sig, side, label, shingles; the hub with side -1): links between components, enough to join those that links join.
+
+    Side 0 meets side 1, or itself where there is no side 1.
+    """
+
+    def of(table: pa.Table) -> pa.Table:
+        sigs, sides, labels, blobs = (table[c].to_pylist() for c in ("sig", "side", "label", "shingles"))
+        hub = next(np.frombuffer(x, dtype=np.uint64) for x, side in zip(blobs, sides, strict=True) if side < 0)
+        rows = [i for i, side in enumerate(sides) if side >= 0]
+        sets = [np.frombuffer(blobs[i], dtype=np.uint64) for i in rows]
+        one, two = ([k for k, i in enumerate(rows) if sides[i] == side] for side in (0, 1))
+        two = two or one
+        lacks, more = incidence([np.setdiff1d(hub, x, True) for x in sets], 1), incidence([np.setdiff1d(x, hub, True) for x in sets], 2)
+        gone, n = lacks.sum(axis=1), np.array([len(x) for x in sets], dtype=np.int64)
+        shared = len(hub) - gone[one][:, None] - gone[two][None, :] + product(lacks[one], lacks[two]) + product(more[one], more[two])
+        linked = np.rint(shared).astype(np.int64) >= law.overlap(n[one][:, None], n[two][None, :])
+        root: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while root.get(x, x) != x:
+                x = root[x]
+            return x
+
+        names = np.array([labels[i] for i in rows], dtype=np.int64)
+        found = []
+        for i, j in zip(*np.nonzero(linked & (names[one][:, None] != names[two][None, :])), strict=True):
+            x, y = one[i], two[j]
+            a, b = top(labels[rows[x]]), top(labels[rows[y]])
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                found.append((sigs[rows[x]], sigs[rows[y]]))
+        return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in (zip(*found) if found else ((), ()))], schema=LINK)
+
+    return of
+
+
 def member_bits(keys: DataFrame, key: str, bits: int = 1 << 23) -> list[tuple[int, int]]:
     """(word, 64 bits) of a bitmap of hashed keys: at most bits / 64 rows, however many keys there are."""
     h = F.pmod(F.xxhash64(key), F.lit(bits))
@@ -288,8 +438,9 @@ class Join:
         every = written(self.docs.mapInArrow(signer(self.width), SQL(SIGNED)), "signed")
         self.rows = every.where("shingle is null")
         filled = self.rows.where("sig is not null")
-        self.sets = written(filled.groupBy("sig").agg(F.min(first_row()).alias("least"), F.min("key").alias("key"), F.first("n").alias("n")), "sets")
+        self.sets = written(filled.groupBy("sig").agg(F.min(first_row()).alias("least"), F.min("key").alias("key"), F.first("n").alias("n")), "sets", few_files=True)
         often = every.where("shingle is not null").groupBy("shingle").agg(F.sum("n").alias("n")).where("n >= 8")
+        self.bits = written(filled.where("bits is not null").select("sig", "n", "bits").dropDuplicates(["sig"]), "bitmaps", few_files=True)
         top = often.orderBy(F.desc("n"), "shingle").limit(self.most_frequent).collect()
         values = np.array([r["shingle"] for r in top], dtype=np.int64).view(np.uint64)
         order = np.argsort(values)
@@ -300,20 +451,27 @@ class Join:
         postings = self.sets.agg(F.sum(F.col("n") - F.ceil(F.lit(self.law.part) * F.col("n") / self.law.whole) + 1)).first()[0] or 0
         buckets = max(32, math.ceil(postings / self.bucket_postings))
         posted = self.docs.select("text").mapInArrow(poster(self.width, self.law, self.frequent, self.ranks, buckets), SQL(POSTED))
-        found = written(posted.groupBy("bucket").applyInArrow(lister(self.law, self.short), PAIRS_SQL), "index")
-        self.pairs = written(found.where("kind = 0").select("a", "b", "na", "nb").distinct(), "pairs")
+        found = written(posted.groupBy("bucket").applyInArrow(lister(self.law, self.short), PAIRS_SQL), "index", few_files=True)
+        self.pairs = written(found.where("kind = 0").select("a", "b", "na", "nb").distinct(), "pairs", few_files=True)
         self.lists = found.where("kind = 1").select("members")
 
-    def verified(self, pairs: DataFrame, name: str, per_task: int = 256) -> DataFrame:
-        """From pairs (a, b) of signatures: the same with what they share and whether they are linked.
+    def held(self, sigs: DataFrame, name: str) -> DataFrame:
+        """(sig, shingles) of the signatures, one row each, made again from one text of each."""
+        wanted = sigs.join(self.sets.select("sig", "key"), "sig").select("key")
+        texts = may_be_in(self.docs.select("key", "text"), "key", wanted).join(wanted, "key", "left_semi").dropDuplicates(["key"])
+        return written(texts.select("text").mapInArrow(setter(self.width), SQL(SET)), name, few_files=True)
+
+    def verified(self, pairs: DataFrame, per_task: int = 256) -> DataFrame:
+        """From pairs (a, b, na, nb) of signatures and sizes: those that bitmaps leave possible, with what they share and whether they are linked.
 
         The set with more partners owns a pair; an owner's partners are dealt to several groups if there are many.
         """
+        bits_a, bits_b = self.bits.select(F.col("sig").alias("a"), F.col("bits").alias("bits_a")), self.bits.select(F.col("sig").alias("b"), F.col("bits").alias("bits_b"))
+        pairs = pairs.join(bits_a, "a").join(bits_b, "b").mapInArrow(screener(self.law), "a long, b long, na long, nb long")
+        pairs = written(pairs, "screened", few_files=True)
         ends = pairs.select(F.col("a").alias("sig")).unionAll(pairs.select(F.col("b").alias("sig")))
-        degree = written(ends.groupBy("sig").agg(F.count(F.lit(1)).alias("d")), f"{name}-degrees")
-        wanted = degree.join(self.sets.select("sig", "key"), "sig").select("sig", "key")
-        texts = may_be_in(self.docs.select("key", "text"), "key", wanted.select("key")).join(wanted, "key", "left_semi")
-        held = written(texts.select("text").mapInArrow(setter(self.width), SQL(SET)), f"{name}-sets")
+        degree = written(ends.groupBy("sig").agg(F.count(F.lit(1)).alias("d")), "degrees", few_files=True)
+        held = self.held(degree.select("sig"), "pair-sets")
         da, db = degree.select(F.col("sig").alias("a"), F.col("d").alias("da")), degree.select(F.col("sig").alias("b"), F.col("d").alias("db"))
         led = pairs.join(da, "a").join(db, "b")
         a_owns = (F.col("da") > F.col("db")) | ((F.col("da") == F.col("db")) & (F.col("a") < F.col("b")))
@@ -322,64 +480,70 @@ class Join:
         )
         part = F.pmod(F.xxhash64("other"), F.ceil(F.col("d") / per_task))
         groups = F.lit(max(1, math.ceil(pairs.count() / per_task)))
-        owned = written(owned.withColumn("grp", F.pmod(F.xxhash64("owner", part), groups)).select("grp", "owner", "other"), f"{name}-owned")
-        sets = held.dropDuplicates(["sig"])
-        others = owned.join(sets.withColumnRenamed("sig", "other"), "other").select("grp", "owner", "other", "shingles")
-        owners = owned.select("grp", "owner").distinct().join(sets.withColumnRenamed("sig", "owner"), "owner")
+        owned = written(owned.withColumn("grp", F.pmod(F.xxhash64("owner", part), groups)).select("grp", "owner", "other"), "owned", few_files=True)
+        others = owned.join(held.withColumnRenamed("sig", "other"), "other").select("grp", "owner", "other", "shingles")
+        owners = owned.select("grp", "owner").distinct().join(held.withColumnRenamed("sig", "owner"), "owner")
         work = others.unionByName(owners.select("grp", "owner", F.lit(None).cast("long").alias("other"), "shingles"))
-        return written(work.groupBy("grp").applyInArrow(checker(self.law), CHECKED), name)
-
-    def across(self, checked: DataFrame, labels: DataFrame) -> DataFrame | None:
-        """Pairs of long lists whose ends are in different components and that weren't checked; None without any."""
-        lists = self.lists.withColumn("list", F.xxhash64("members"))
-        members = lists.mapInArrow(unpacker, UNPACKED).join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
-        members = written(members, "members")
-        mixed = members.groupBy("list").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("m")).where("x <> y").select("list", "m")
-        cells = F.ceil(F.col("m") / 1024)
-        some = members.join(mixed, "list").withColumn("cells", cells).withColumn("cell", F.pmod(F.xxhash64("sig"), F.col("cells")))
-        # a long list's pairs are made cell by cell: each member goes where its cell meets another
-        some = some.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)))
-        some = some.select("list", "sig", "n", "p", "label", "cell", F.least("cell", "with").alias("c1"), F.greatest("cell", "with").alias("c2"))
-        pairs = some.groupBy("list", "c1", "c2").applyInArrow(crosser(self.law), PAIRS_SQL).select("a", "b", "na", "nb").distinct()
-        pairs = written(pairs.join(checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "across")
-        return None if pairs.isEmpty() else pairs
-
-    def derived(self, pairs: DataFrame, checked: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """What hubs' answers say of pairs: (linked pairs, pairs still open).
-
-        With x = hub less ``lost`` plus ``gained`` shingles, x shares with y what its hub does, less ``lost`` at most and plus ``gained`` at most.
-        """
-        n = self.sets.select("sig", "n")
-        each = checked.select("a", "b", "shared").unionAll(checked.select(F.col("b").alias("a"), F.col("a").alias("b"), "shared"))
-        hubs = each.join(checked.where("linked").select(F.col("a").alias("h")).distinct(), F.col("a") == F.col("h"), "left_semi")
-        best = hubs.groupBy(F.col("b").alias("x")).agg(F.max(F.struct("shared", F.col("a").alias("hub"))).alias("m")).select("x", "m.hub", F.col("m.shared").alias("kept"))
-        best = best.join(n.select(F.col("sig").alias("hub"), F.col("n").alias("hub_n")), "hub")
-        known = each.select(F.col("a").alias("hub"), F.col("b").alias("y"), F.col("shared").alias("hub_y"))
-        asked = pairs.withColumn("x", F.col("a")).withColumn("y", F.col("b")).join(best, "x", "left").join(known, ["hub", "y"], "left")
-        lost, gained = F.col("hub_n") - F.col("kept"), F.col("na") - F.col("kept")
-        need = F.ceil(F.lit(self.law.part) * (F.col("na") + F.col("nb")) / (self.law.part + self.law.whole))
-        told = written(
-            asked.select("a", "b", "na", "nb", F.when(F.col("hub_y") - lost >= need, True).when(F.col("hub_y") + gained < need, False).alias("linked")), "derived"
-        )
-        return told.where("linked").select("a", "b"), told.where("linked is null").select("a", "b", "na", "nb")
+        return written(work.groupBy("grp").applyInArrow(checker(self.law), CHECKED), "hub-answers", few_files=True)
+
+    def across(self, checked: DataFrame, labels: DataFrame) -> DataFrame:
+        """Links (a, b) that join components within the long lists that hold more than one."""
+        lists = self.lists.withColumn("list", F.monotonically_increasing_id()).withColumn("m", F.length("members") / POSTING.itemsize)
+        members = written(lists.mapInArrow(unpacker, UNPACKED), "members", few_files=True)
+        weight = members.groupBy("sig").agg(F.count(F.lit(1)).alias("w"))
+        members = members.join(weight, "sig").join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
+        members = written(members, "labelled-members", few_files=True)
+        mixed = members.groupBy("list").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max(F.struct("w", "sig", "label")).alias("hub")).where("x <> y")
+        mixed = mixed.select("list", F.col("hub.sig").alias("hub"), F.col("hub.label").alias("family"))
+        members = members.join(mixed, "list")
+        groups = max(1, members.count() // 20_000)
+        counted = members.where(F.col("m") <= COUNTED_UP_TO).groupBy(F.pmod("list", F.lit(groups)).alias("grp")).applyInArrow(crosser(self.law), PAIRS_SQL)
+        counted = written(counted, "crossed", few_files=True)
+        known = checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        pairs = written(counted.where("kind = 0").select("a", "b", "na", "nb").distinct().join(known, ["a", "b"], "left_anti"), "crossing-pairs", few_files=True)
+        links = self.verified(pairs).where("linked").select("a", "b")
+        family = counted.where("kind = 1").select(F.col("a").alias("sig"), F.col("na").alias("label"), F.col("nb").alias("family"), F.col("b").alias("hub"))
+        family = family.unionByName(members.where(F.col("m") > COUNTED_UP_TO).select("sig", "label", "family", "hub"))
+        # lists with hubs in one component are one family, under one of the hubs
+        family = family.groupBy("family", "sig", "label").agg(F.min("hub").alias("hub"))
+        one = family.groupBy("family").agg(F.min("hub").alias("hub"))
+        return links.unionAll(self.families(written(family.drop("hub").join(one, "family").select("hub", "sig", "label"), "families", few_files=True)))
+
+    def families(self, family: DataFrame, cell: int = 1024) -> DataFrame:
+        """From (hub, sig, label): links that join the components of each hub's family."""
+        by_label = family.groupBy("hub", "label").agg(F.count(F.lit(1)).alias("k"))
+        mixed = by_label.groupBy("hub").agg(F.max(F.struct("k", "label")).alias("top"), F.sum("k").alias("m"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+        mixed = mixed.select("hub", F.col("top.label").alias("main"), F.ceil((F.col("m") - F.col("top.k")) / cell).alias("others"), F.ceil(F.col("top.k") / cell).alias("mains"))
+        rows = family.join(mixed, "hub").withColumn("is_main", F.col("label") == F.col("main"))
+        own = F.pmod(F.xxhash64("sig"), F.when(F.col("is_main"), F.col("mains")).otherwise(F.col("others")))
+        # a cell is 0.. for others, -1.. for the main component; two cells meet under (c1, c2), c1 being one of others
+        rows = rows.withColumn("own", F.when(F.col("is_main"), -1 - own).otherwise(own))
+        every_other, every_main = F.sequence(F.lit(0).cast("long"), F.col("others") - 1), F.sequence(F.lit(-1).cast("long"), -F.col("mains"), F.lit(-1).cast("long"))
+        meets = F.when(F.col("is_main"), every_other).otherwise(F.concat(every_other, every_main))
+        rows = rows.withColumn("with", F.explode(meets))
+        swap = F.col("is_main") | ((F.col("with") >= 0) & (F.col("with") < F.col("own")))
+        rows = rows.select("hub", "sig", "label", F.when(swap, F.col("with")).otherwise(F.col("own")).alias("c1"), F.when(swap, F.col("own")).otherwise(F.col("with")).alias("c2"), "own")
+        rows = rows.withColumn("side", F.when(F.col("own") == F.col("c1"), 0).otherwise(1)).drop("own")
+        sifted = rows.join(self.bits, "sig").groupBy("hub", "c1", "c2").applyInArrow(sifter(self.law), CELL_SQL)
+        rows = written(sifted, "sifted", few_files=True)
+        centers = rows.select("hub", "c1", "c2").distinct().select("hub", F.col("hub").alias("sig"), F.lit(0).cast("long").alias("label"), "c1", "c2", F.lit(-1).alias("side"))
+        rows = rows.unionByName(centers)
+        held = self.held(rows.select("sig").distinct(), "family-sets")
+        return written(rows.join(held, "sig").groupBy("hub", "c1", "c2").applyInArrow(relater(self.law), "a long, b long").distinct(), "family-links", few_files=True)
 
     def run(self) -> DataFrame:
         self.sizes()
         self.index()
-        checked = self.verified(self.pairs, "hub-answers")
+        checked = self.verified(self.pairs)
         links = checked.where("linked").select("a", "b")
-        labels = written(components(links, "a", "b"), "labels")
-        pairs = self.across(checked, labels)
-        if pairs is not None:
-            told, open_ = self.derived(pairs, checked)
-            links = links.unionAll(told)
-            if not open_.isEmpty():
-                links = links.unionAll(self.verified(open_, "cross-answers").where("linked").select("a", "b"))
-            labels = written(components(links, "a", "b"), "labels")
+        labels = written(components(links, "a", "b"), "labels", few_files=True)
+        more = self.across(checked, labels)
+        if not more.isEmpty():
+            labels = written(components(links.unionAll(more), "a", "b"), "labels", few_files=True)
         named = self.sets.select("sig", "least").join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
-        named = written(named, "named")
+        named = written(named, "named", few_files=True)
         ids = named.groupBy("label").agg(F.min("least").alias("first"))
-        per_set = written(named.join(ids, "label").select("sig", "first"), "set-components")
+        per_set = written(named.join(ids, "label").select("sig", "first"), "set-components", few_files=True)
         first = F.coalesce("first", first_row())
         return self.rows.join(per_set, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), first["doc_id"].alias("component_id"), "key", first["key"].alias("first_key"))
 
@@ -389,56 +553,61 @@ def first_row():
     return F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("doc_id"), F.col("key").alias("key"))
 
 
-UNPACKED = "list long, sig long, n long, p long"
+UNPACKED = "list long, m long, sig long, n long, p long"
+#: Lists with more members than this go to families without their possible pairs being counted.
+COUNTED_UP_TO = 4096
 
 
 def unpacker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for name, blob in zip(*batch_columns(b, "list", "members"), strict=True):
             x = np.frombuffer(blob.as_py(), dtype=POSTING)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), name.as_py())), pa.array(x["s"]), pa.array(x["n"].astype(np.int64)), pa.array(x["p"].astype(np.int64))], names=["list", "sig", "n", "p"])
+            columns = [np.full(len(x), name.as_py()), np.full(len(x), len(x)), x["s"], x["n"].astype(np.int64), x["p"].astype(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["list", "m", "sig", "n", "p"])
 
 
-def crosser(law: Bound):
-    """For applyInArrow over two cells of a long list: its pairs across components, block by block."""
+def crosser(law: Bound, few: float = 0.5):
+    """For applyInArrow over whole lists: the pairs across components that sizes and positions leave possible, as kind 0; or, where there are more than
+    ``few`` for each member that has one, as kind 1 these members, the list's hub, the members' labels, and the hub's."""
 
     def of(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        s, n, p, label, cell, c1, c2 = (table[c].to_numpy() for c in ("sig", "n", "p", "label", "cell", "c1", "c2"))
-        order = np.lexsort((p, n))
-        s, n, p, label, cell = s[order], n[order], p[order], label[order], cell[order]
-        one_cell = c1[0] == c2[0]
-        sizes, first = np.unique(n, return_index=True)
-        last = np.r_[first[1:], len(n)]
-        left, right = [], []
-        for i in range(len(s)):
-            # blocks of sizes from n[i] up to the largest that can be similar
-            top = np.searchsorted(sizes, n[i] * law.whole // law.part, "right")
-            for k in range(np.searchsorted(sizes, n[i]), top):
-                need = law.overlap(n[i], sizes[k])
-                if n[i] - p[i] < need:
-                    break
-                a = max(first[k], i + 1)
-                b = first[k] + np.searchsorted(p[first[k] : last[k]], sizes[k] - need, "right")
-                if a < b:
-                    j = np.arange(a, b)
-                    j = j[(label[j] != label[i]) & (one_cell | (cell[j] != cell[i]))]
-                    left.append(np.full(len(j), i))
-                    right.append(j)
-        i, j = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (left, right))
-        return pa.Table.from_batches([pair_rows(s[i], s[j], n[i], n[j])], schema=PAIR)
+        columns = [table[c].to_numpy() for c in ("list", "n", "p", "sig", "label", "hub", "family")]
+        order = np.lexsort(columns[3::-1])
+        lists, size, place, sig, label, hub, family = (c[order] for c in columns)
+        first = np.flatnonzero(np.r_[True, lists[1:] != lists[:-1]])
+        a, b, members = [], [], []
+        for start, end in zip(first, np.r_[first[1:], len(lists)], strict=True):
+            n, p, names, left, right = size[start:end], place[start:end], label[start:end], [], []
+            for i in range(end - start):
+                j = in_reach(law, n, p, i)
+                j = j[(j > i) & (names[j] != names[i])]
+                left.append(np.full(len(j), start + i))
+                right.append(start + j)
+            left, right = np.concatenate(left), np.concatenate(right)
+            active = np.union1d(left, right)
+            if len(left) > few * len(active):
+                members.append(active)
+            else:
+                a.append(left)
+                b.append(right)
+        i, j = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (a, b))
+        out = [pair_rows(sig[i], sig[j], size[i], size[j])]
+        if members:
+            at = np.concatenate(members)
+            out.append(batch(PAIR, np.ones(len(at), dtype=np.int32), sig[at], hub[at], label[at], family[at], pa.nulls(len(at), pa.binary())))
+        return pa.Table.from_batches(out, schema=PAIR)
 
     return of
 
 
 def SQL(schema: pa.Schema) -> str:  # noqa: N802
     """An Arrow schema as Spark writes it."""
-    names = {pa.int64(): "long", pa.int32(): "int", pa.binary(): "binary"}
+    names = {pa.int64(): "long", pa.int32(): "int", pa.binary(): "binary", pa.bool_(): "boolean"}
     return ", ".join(f"{f.name} {names[f.type]}" for f in schema)
 
 
 def join(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, part: int = 75, whole: int = 100, most_frequent: int = 65_536, short: int = 8, bucket_postings: int = 250_000
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, part: int = 75, whole: int = 100, most_frequent: int = 65_536, short: int = 3, bucket_postings: int = 250_000
 ) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id (the smallest id that links lead to), key and first_key (hashes of the row's and of the component's first id and text)."""
     return Join(docs, id_col, text_col, width, part, whole, most_frequent, short, bucket_postings).run()
