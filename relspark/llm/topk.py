@@ -133,7 +133,7 @@ def searcher(k: int, few: int, at_once: int = 128):
 def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 50, k: int = 5, factor: int = 256, block_rows: int = 4096, query_rows: int = 1024, few: int = 64) -> DataFrame:
     """Per query (ids divisible by ``every``) and rank: query_id, rank, vec_id, score."""
     read = vectors.select(F.col(id_col).cast("long").alias("vec_id"), quantised(F.col(vector_col), factor).alias("q")).dropna()
-    read = written(read.groupBy("vec_id").agg(F.min("q").alias("q")), "vectors")
+    read = written(read.groupBy("vec_id").agg(F.min("q").alias("q")), "vectors", few_files=True)
     index = written(read.mapInArrow(blocker(block_rows), BLOCK), "vector-blocks")
     asked = read.where(F.col("vec_id") % every == 0).repartition(1 + read.where(F.col("vec_id") % every == 0).count() // (4 * query_rows))
     queries = written(asked.mapInArrow(blocker(query_rows), BLOCK), "query-blocks")
