@@ -144,6 +144,8 @@ def level(sizes: list[int], shards: int) -> list[int]:
     return best
 
 
+#: Bundles that the driver packs, about; and rows of (shard, bucket) that may be sent to every task.
+MOST_BUNDLES, SENT_OUT = 1_000_000, 1_000_000
 BUNDLED = "grp binary, size long, bundle long"
 
 
@@ -187,7 +189,9 @@ def shard(docs: DataFrame, shards: int | None = 16, capacity: int | None = None,
     rows = written(grouped(docs, id_col, text_col), "shard-rows")
     groups = rows.groupBy("grp").agg(F.sum("size").alias("size"))
     total = rows.agg(F.sum("size")).first()[0] or 0
-    least = max(1, (capacity if capacity else math.ceil(total / shards)) // grain)
+    per_shard = capacity if capacity else math.ceil(total / shards)
+    grain = max(1, min(grain, MOST_BUNDLES * per_shard // max(1, 2 * total)))
+    least = max(1, per_shard // grain)
     packed = bundles(groups, least)
     totals = [tuple(r) for r in packed.groupBy("bundle").agg(F.sum("size").alias("size")).orderBy(F.desc("size"), "bundle").collect()]
     sizes = [s for _, s in totals]
@@ -198,9 +202,11 @@ def shard(docs: DataFrame, shards: int | None = 16, capacity: int | None = None,
     counts = seated.groupBy("shard", "_b").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("shard").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("shard", "_b", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    if (max(at, default=0) + 1) * buckets <= SENT_OUT:
+        starts = F.broadcast(starts)
     inside = F.row_number().over(Window.partitionBy("shard", "_b").orderBy("doc_id", "grp")) - 1
     return (
         seated.withColumn("_r", inside)
-        .join(F.broadcast(starts), ["shard", "_b"])  # shards * buckets rows at most
+        .join(starts, ["shard", "_b"])
         .select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("start") + F.col("_r")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
     )
