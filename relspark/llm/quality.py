@@ -125,4 +125,6 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules
 def kept(docs: DataFrame, text_col: str = "text", rules=RULES) -> DataFrame:
     """The rows of docs, with all their columns, that the base rule and the threshold table let pass."""
     rows = docs.select(F.struct("*").alias("_row"), F.col(text_col).alias("_of"))
-    return judge(rows, "_row", "_of", rules).where("kept").select("_row.*")
+    # a filter doesn't go below an exploded column; else the measures are computed again for every test in it
+    judged = judge(rows, "_row", "_of", rules).select(F.explode(F.array(F.struct("_row", "kept"))).alias("_one"))
+    return judged.where("_one.kept").select("_one._row.*")
