@@ -25,14 +25,14 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def written(df: DataFrame, name: str, few_files: bool = False) -> DataFrame:
+def written(df: DataFrame, name: str, few_files: bool = False, files: int = 0) -> DataFrame:
     """df as Parquet in the shared folder, read again: its lineage ends there and survives lost executors.
 
-    ``few_files``, for narrow tables that come out of a shuffle: no more files than two for each core of the cluster.
+    ``few_files``, for narrow tables that come out of a shuffle: no more files than two for each core of the cluster, or ``files`` if that is more.
     """
     spark = df.sparkSession
     if few_files:
-        df = df.coalesce(2 * spark.sparkContext.defaultParallelism)
+        df = df.coalesce(max(files, 2 * spark.sparkContext.defaultParallelism))
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -451,7 +451,7 @@ class Join:
         postings = self.sets.agg(F.sum(F.col("n") - F.ceil(F.lit(self.law.part) * F.col("n") / self.law.whole) + 1)).first()[0] or 0
         buckets = max(32, math.ceil(postings / self.bucket_postings))
         posted = self.docs.select("text").mapInArrow(poster(self.width, self.law, self.frequent, self.ranks, buckets), SQL(POSTED))
-        found = written(posted.groupBy("bucket").applyInArrow(lister(self.law, self.short), PAIRS_SQL), "index", few_files=True)
+        found = written(posted.groupBy("bucket").applyInArrow(lister(self.law, self.short), PAIRS_SQL), "index", few_files=True, files=buckets // 2)
         self.pairs = written(found.where("kind = 0").select("a", "b", "na", "nb").distinct(), "pairs", few_files=True)
         self.lists = found.where("kind = 1").select("members")
 
