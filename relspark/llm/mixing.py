@@ -4,9 +4,10 @@ Each source is to give a share of all words. Its documents start with the copy n
 fractional parts are rounded in pairs: a random transfer that keeps the pair's expected words makes one of the two
 integral. Within a bucket, where the parts of a source are equal, the largest document left is paired with all the
 smaller ones as one partner, which share the transfer in proportion and so go on with equal parts; the last and smallest
+stays fractional. Where the smaller ones hold too few words to make the large one integral, they become integral and it
 stays fractional. Those residuals, at most one for each source and bucket, meet document by document in a reduction tree
-of fixed fan-in, so no task ever holds more than a bucket or a fan of them, and a source misses its target by a short
-document rather than a long one.
+of fixed fan-in, so no task ever holds more than a bucket or a fan of them, and a source misses its target by at most the
+one document that is left at the root, mostly a short one.
 
 Defined cases: a null text has size 0 and takes 0 words; a null source is a source of its own, the last in order;
 repeated rows are rounded one by one; an empty table gives an empty result. The random numbers depend on the seed, the
@@ -93,14 +94,26 @@ def pivot(sizes: list[int], parts: list[float], rng: random.Random) -> tuple[lis
 
 
 def settle(sizes: list[int], part: float, rng: random.Random) -> tuple[list[int], int | None, float]:
-    """As pivot, for documents of one common part in falling order of size: each is made integral against all that follow."""
-    out, mass, rest = [0] * len(sizes), part * sum(sizes), sum(sizes)
-    for i, s in enumerate(sizes):
-        p = min(1.0, max(0.0, mass / rest)) if rest else part
-        if s == rest and s > 0 and TINY < p < 1 - TINY:
-            return [*out[:i], *[int(rng.random() < part) for _ in out[i:]]], i, p
-        out[i] = int(rng.random() < p)
-        mass, rest = mass - out[i] * s, rest - s
+    """As pivot, for documents of one common part in falling order of size: each meets all that follow as one partner, until only one part is left fractional."""
+    if part <= TINY or part >= 1 - TINY:
+        return [int(part > 0.5)] * len(sizes), None, 0.0
+    out, rest, q = [0 if s else int(rng.random() < part) for s in sizes], sum(sizes), part
+    filled = sum(s > 0 for s in sizes)
+    for i, s in enumerate(sizes[:filled]):
+        rest -= s
+        if not rest:
+            return out, i, q
+        up, down = min((1 - q) * s, q * rest), min(q * s, (1 - q) * rest)
+        if rng.random() * (up + down) < down:
+            p, q = q + up / s, q - up / rest
+        else:
+            p, q = q - down / s, q + down / rest
+        done_p, done_q = p <= TINY or p >= 1 - TINY, q <= TINY or q >= 1 - TINY
+        if done_p:
+            out[i] = int(p > 0.5)
+        if done_q:
+            out[i + 1 : filled] = [int(q > 0.5)] * (filled - i - 1)
+            return (out, None, 0.0) if done_p else (out, i, p)
     return out, None, 0.0
 
 

@@ -105,6 +105,17 @@ def test_rounding_keeps_words_and_chances():
     assert abs(sum(x * s for i, (x, s) in enumerate(zip(out, sizes, strict=True)) if i != at) + (p * sizes[at] if at is not None else 0) - 0.3 * sum(sizes)) < 1e-6 * sum(sizes)
 
 
+@pytest.mark.parametrize(("sizes", "part"), [([10, 5], 0.1), ([900, 3, 2, 2, 0], 0.35), ([20_000, 400, 30, 30], 0.7), ([7], 0.4), ([6, 6, 6, 6], 0.25)])
+def test_settling_few_or_skewed_sizes_keeps_words_and_chances(sizes, part):
+    ups = np.zeros(len(sizes))
+    for seed in range(4000):
+        out, at, p = mixing.settle(sizes, part, random.Random(seed))
+        parts = [p if i == at else x for i, x in enumerate(out)]
+        assert sum(x * s for x, s in zip(parts, sizes, strict=True)) == pytest.approx(part * sum(sizes))
+        ups += parts
+    assert np.abs(ups / 4000 - part).max() < 0.04
+
+
 def test_mix(spark, odd, none):
     rng = random.Random(6)
     rows = [(i, "w " * rng.randrange(1, 60), rng.choice(["a", "b", "c", None])) for i in range(1500)]
