@@ -4,7 +4,8 @@ Two zstandard dictionaries are trained from labelled texts: one on ordinary text
 lacks. Every window of a text is compressed with the ordinary dictionary alone and with both; how many bytes the toxic one saves is the
 window's distance. A logistic curve, fitted on the same labelled texts, turns the distances of all windows into a score from 0 to 1.
 
-Bounds of the fit, all parameters of ``fit``: ``per_class`` labelled rows a class, ``fit_chars`` of each. Scoring reads whole texts.
+Bounds of the fit, all parameters of ``fit``: ``per_class`` labelled rows a class, ``fit_chars`` of each. Where a class has more rows, those
+taken are weighted by the class's true count, so that the curve sees the true shares. Scoring reads whole texts.
 
 Defined cases: a null text is an empty one and has one empty window; repeated rows are scored alike; without labels of both classes every
 score is the share of toxic labels (0 without any); a row with a null id is never held out.
@@ -70,12 +71,13 @@ def expanded(x: np.ndarray) -> np.ndarray:
     return np.column_stack([np.ones(len(x)), x, *pairs])
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 3.0, rounds: int = 25) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, counts: np.ndarray, ridge: float = 3.0, rounds: int = 25) -> np.ndarray:
+    """Row i counts ``counts[i]`` times."""
     w, keep = np.zeros(x.shape[1]), np.eye(x.shape[1]) * ridge
     keep[0, 0] = 1e-6
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        w += np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + keep, x.T @ (y - p) - keep @ w)
+        w += np.linalg.solve((x * (counts * p * (1 - p))[:, None]).T @ x + keep, x.T @ (counts * (y - p)) - keep @ w)
     return w
 
 
@@ -96,9 +98,11 @@ def dictionary(samples: list[bytes], size: int) -> bytes:
         return b"".join(samples)[-size:]
 
 
-def train(rows: list[tuple[str, int]], window: int = 64, step: int = 48, size: int = 32768, words: int = 64) -> Model:
-    """From (text, label); the rows' order doesn't matter."""
-    rows = sorted({t.lower(): y for t, y in sorted(rows)}.items())
+def train(labelled: list[tuple[str, int]], stands_for: tuple[float, float] = (1.0, 1.0), window: int = 64, step: int = 48, size: int = 32768, words: int = 64) -> Model:
+    """From (text, label); the rows' order doesn't matter. A row of label y stands for ``stands_for[y]`` labelled rows, and a text for all rows that have it."""
+    rows, times = sorted({t.lower(): y for t, y in sorted(labelled)}.items()), Counter()
+    for t, y in labelled:
+        times[t.lower()] += stands_for[y]
     toxic, other = [t for t, y in rows if y], [t for t, y in rows if not y]
     flat = Model(b"", b"", window, step, (), (), ())
     if not toxic or not other:
@@ -109,8 +113,11 @@ def train(rows: list[tuple[str, int]], window: int = 64, step: int = 48, size: i
     model = flat._replace(ordinary=ordinary, toxic="".join(f" {w} " for w in lexicon).encode())
     measure = Distances(model)
     x, y = np.array([measure.features(t) for t, _ in rows]), np.array([y for _, y in rows], dtype=np.float64)
-    center, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
-    weights = logistic(expanded((x - center) / scale), y)
+    counts = np.array([times[t] for t, _ in rows])
+    counts *= len(rows) / counts.sum()  # so that the ridge is as strong at every size
+    center = np.average(x, axis=0, weights=counts)
+    scale = np.sqrt(np.average((x - center) ** 2, axis=0, weights=counts)) + 1e-9
+    weights = logistic(expanded((x - center) / scale), y, counts)
     return model._replace(center=tuple(center), scale=tuple(scale), weights=tuple(weights))
 
 
@@ -140,14 +147,18 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", per_class: int = 3000, fit_chars: int = 20_000) -> Model:
-    """Learns from at most ``per_class`` labelled rows a class that aren't held out, in order of their ids' hashes, at most ``fit_chars`` of each."""
+    """Learns from at most ``per_class`` labelled rows a class that aren't held out, in order of their ids' hashes, at most ``fit_chars`` of each.
+
+    A class's rows are weighted to stand for all its labelled rows that aren't held out, so that scores mean the same at every size.
+    """
     known = labels.where(~held_out(id_col)).groupBy(F.col(id_col).alias("doc_id")).agg(F.max(label_col).alias("label")).dropna()
     one = known.where("label = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
     zero = known.where("label = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.left(whole_text(text_col), F.lit(fit_chars)).alias("text"))
     # at most 2 * per_class ids are sent out; a repeated id gives one of its rows
     rows = texts.join(F.broadcast(one.unionAll(zero)), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label"))
-    return train([(r["text"], r["label"]) for r in rows.collect()])
+    counted = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
+    return train([(r["text"], r["label"]) for r in rows.collect()], tuple(max(1.0, counted.get(y, 0) / max(1, per_class)) for y in (0, 1)))
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, **how) -> DataFrame:

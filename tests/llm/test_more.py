@@ -169,6 +169,18 @@ def test_toxicity_on_held_out_rows(spark, odd, none):
     assert {r["score"] < 1e-9 for r in toxicity.score(docs, labels.limit(0)).collect()} == {True}
 
 
+def test_scores_mean_the_same_when_classes_are_capped(spark):
+    # a quarter of each class has no sign of it, so that shares decide its score
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choice("lorem ipsum dolor sit amet on that by the of".split()) for _ in range(30)) + (" vilewort" if (i % 10 == 0) != (rng.random() < 0.25) else ""), int(i % 10 == 0)) for i in range(1500)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    mean = lambda **how: toxicity.score(docs, labels, **how).where("held_out").agg(F.avg("score")).first()[0]
+    whole = mean()
+    assert whole == pytest.approx(0.1, abs=0.04)
+    assert mean(per_class=90) == pytest.approx(whole, abs=0.04)
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(9)
     vectors = [[float(x) for x in v] for v in rng.normal(0, 0.13, (400, 12))]
