@@ -169,6 +169,14 @@ def test_toxicity_on_held_out_rows(spark, odd, none):
     assert {r["score"] < 1e-9 for r in toxicity.score(docs, labels.limit(0)).collect()} == {True}
 
 
+def test_no_toxic_word_is_one_too_many():
+    rng = random.Random(10)
+    vile = [f"vile{i}wort{i * 7919 % 1000}" for i in range(150)]
+    text = lambda bad: " ".join(rng.choice("lorem ipsum dolor sit amet on that by the of".split()) for _ in range(40)) + " " + " ".join(rng.sample(vile, 20) if bad else [])
+    model = toxicity.train([(text(i % 4 == 0), int(i % 4 == 0)) for i in range(1200)])
+    assert {w for w in vile if f" {w} ".encode() in model.toxic} == set(vile)
+
+
 def test_scores_mean_the_same_when_classes_are_capped(spark):
     # a quarter of each class has no sign of it, so that shares decide its score
     rng = random.Random(9)
