@@ -401,6 +401,57 @@ def relater(law: Bound):
     return of
 
 
+def shared_counts(one: list[np.ndarray], two: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """How many values each of ``one`` shares with each of ``two``, by matrix products of ``width`` values at a time."""
+    rows = [*one, *two]
+    values, place, count = np.unique(np.concatenate(rows), return_inverse=True, return_counts=True)
+    every = count == len(rows)  # what all have needs no product
+    some = (count > 1) & ~every
+    column, row = np.cumsum(some) - 1, np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    row, column = row[some[place]], column[place[some[place]]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.full((len(one), len(two)), float(every.sum()))
+    for i in range(0, int(some.sum()), width):
+        a, b = np.searchsorted(column, (i, i + width))
+        held = np.zeros((len(rows), width), dtype=np.float32)
+        held[row[a:b], column[a:b] - i] = 1
+        out += held[: len(one)] @ held[len(one) :].T
+    return np.rint(out).astype(np.int64)
+
+
+COUNTED = pa.schema([("sig", pa.int64()), ("links", pa.int64())])
+
+
+def counter(law: Bound):
+    """For applyInArrow over whole meetings (label, c1, c2) of two cells of a component, or of one with itself: per set the linked rows that the others stand for."""
+
+    def of(table: pa.Table) -> pa.Table:
+        label, c1, c2, side, sig, times = (table[c].to_numpy() for c in ("label", "c1", "c2", "side", "sig", "times"))
+        blobs, sigs, links = table["shingles"].to_pylist(), [], []
+        meetings: dict[tuple, tuple[list[int], list[int]]] = {}
+        for i, k in enumerate(zip(label, c1, c2, strict=True)):
+            meetings.setdefault(k, ([], []))[side[i]].append(i)
+        for (_, x, y), (one, two) in meetings.items():
+            alone = x == y
+            two = one if alone else two
+            if not one or not two:
+                continue
+            left, right = ([np.frombuffer(blobs[i], dtype=np.uint64) for i in rows] for rows in (one, two))
+            n, m = (np.array([len(s) for s in sets], dtype=np.int64) for sets in (left, right))
+            linked = shared_counts(left, right) >= law.overlap(n[:, None], m[None, :])
+            if alone:
+                np.fill_diagonal(linked, False)
+            sigs.append(sig[one])
+            links.append(linked @ times[two])
+            if not alone:
+                sigs.append(sig[two])
+                links.append(times[one] @ linked)
+        return pa.Table.from_arrays([pa.array(np.concatenate(c) if c else [], pa.int64()) for c in (sigs, links)], schema=COUNTED)
+
+    return of
+
+
 def member_bits(keys: DataFrame, key: str, bits: int = 1 << 23) -> list[tuple[int, int]]:
     """(word, 64 bits) of a bitmap of hashed keys: at most bits / 64 rows, however many keys there are."""
     h = F.pmod(F.xxhash64(key), F.lit(bits))
@@ -531,7 +582,24 @@ class Join:
         held = self.held(rows.select("sig").distinct(), "family-sets")
         return written(rows.join(held, "sig").groupBy("hub", "c1", "c2").applyInArrow(relater(self.law), "a long, b long").distinct(), "family-links", few_files=True)
 
-    def run(self) -> DataFrame:
+    def link_counts(self, named: DataFrame, cell: int, per_task: int = 1024) -> DataFrame:
+        """From (sig, label): per set (sig, times, links), how many rows have it and how many rows with other sets are linked to these.
+
+        Links are within components, and two sets of one meet in just one pair of its cells, so every link is found and counts once.
+        """
+        times = written(self.rows.where("sig is not null").groupBy("sig").agg(F.count(F.lit(1)).alias("times")), "times", few_files=True)
+        several = named.groupBy("label").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("label", F.ceil(F.col("k") / cell).alias("cells"))
+        rows = named.select("sig", "label").join(several, "label").join(times, "sig").withColumn("own", F.pmod(F.xxhash64("sig"), F.col("cells")))
+        rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)))
+        rows = rows.select("label", "sig", "times", F.least("own", "with").alias("c1"), F.greatest("own", "with").alias("c2"), (F.col("own") > F.col("with")).cast("int").alias("side"))
+        rows = written(rows, "meetings", few_files=True)
+        groups = max(1, math.ceil(rows.count() / per_task))
+        held = self.held(rows.select("sig").distinct(), "component-sets")
+        rows = rows.join(held, "sig").withColumn("grp", F.pmod(F.xxhash64("label", "c1", "c2"), F.lit(groups)))
+        found = written(rows.groupBy("grp").applyInArrow(counter(self.law), SQL(COUNTED)), "link-counts", few_files=True)
+        return times.join(found.groupBy("sig").agg(F.sum("links").alias("links")), "sig", "left")
+
+    def run(self, links_too: bool = False, cell: int = 1024) -> DataFrame:
         self.sizes()
         self.index()
         checked = self.verified(self.pairs)
@@ -545,7 +613,12 @@ class Join:
         ids = named.groupBy("label").agg(F.min("least").alias("first"))
         per_set = written(named.join(ids, "label").select("sig", "first"), "set-components", few_files=True)
         first = F.coalesce("first", first_row())
-        return self.rows.join(per_set, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), first["doc_id"].alias("component_id"), "key", first["key"].alias("first_key"))
+        columns = ["doc_id", F.col("n").alias("n_shingles"), first["doc_id"].alias("component_id"), "key", first["key"].alias("first_key")]
+        rows = self.rows.join(per_set, "sig", "left")
+        if links_too:
+            rows = rows.join(self.link_counts(named.select("sig", "label"), cell), "sig", "left")
+            columns.append((F.coalesce("links", F.lit(0)) + F.coalesce(F.col("times") - 1, F.lit(0))).cast("long").alias("n_links"))
+        return rows.select(*columns)
 
 
 def first_row():
@@ -607,10 +680,13 @@ def SQL(schema: pa.Schema) -> str:  # noqa: N802
 
 
 def join(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, part: int = 75, whole: int = 100, most_frequent: int = 65_536, short: int = 3, bucket_postings: int = 250_000
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, part: int = 75, whole: int = 100, most_frequent: int = 65_536, short: int = 3, bucket_postings: int = 250_000, links: bool = False, cell: int = 1024
 ) -> DataFrame:
-    """Per row of docs: doc_id, n_shingles, component_id (the smallest id that links lead to), key and first_key (hashes of the row's and of the component's first id and text)."""
-    return Join(docs, id_col, text_col, width, part, whole, most_frequent, short, bucket_postings).run()
+    """Per row of docs: doc_id, n_shingles, component_id (the smallest id that links lead to), key and first_key (hashes of the row's and of the component's first id and text).
+
+    With ``links`` also n_links: how many other rows are linked to the row, rows with equal sets among them. All sets of a component are compared, in cells of about ``cell``.
+    """
+    return Join(docs, id_col, text_col, width, part, whole, most_frequent, short, bucket_postings).run(links, cell)
 
 
 def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

@@ -65,6 +65,17 @@ def test_like_all_pairs(spark, seed, short):
     assert sorted(got, key=str) == brute(rows)
 
 
+@pytest.mark.parametrize("cell", [4, 1024])
+def test_link_counts_like_all_pairs(spark, cell):
+    ship(spark)
+    rows = corpus(5)
+    sets = [shingle_set(t) for _, t in rows]
+    linked = lambda x, y: bool(x & y) and 100 * len(x & y) >= 75 * len(x | y)
+    want = [(d, len(s), sum(linked(s, o) for j, o in enumerate(sets) if j != i)) for i, ((d, _), s) in enumerate(zip(rows, sets, strict=True))]
+    got = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string"), links=True, cell=cell).select("doc_id", "n_shingles", "n_links").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
 def test_empty_table(spark):
     ship(spark)
     assert jaccard.join(spark.createDataFrame([], "doc_id long, text string")).collect() == []
