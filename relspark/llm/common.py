@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -17,27 +18,51 @@ WORD = rf"[^{BLANKS}]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. A session of one process may go without; it gets a folder of its own."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir has to name a folder that all machines of {master} share")
         path = f"file://{tempfile.mkdtemp(prefix='relspark-')}"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
-def written(df: DataFrame, name: str, few_files: bool = False, files: int = 0) -> DataFrame:
-    """df as Parquet in the shared folder, read again: its lineage ends there and survives lost executors.
+def written(df: DataFrame, name: str, files: int = 0) -> DataFrame:
+    """df as Parquet in the shared folder, read again: its lineage ends there and survives lost executors. The application's end removes it.
 
-    ``few_files``, for narrow tables that come out of a shuffle: no more files than two for each core of the cluster, or ``files`` if that is more.
+    ``files``: no more than so many, which the caller takes from the size of the data (see ``files_for``); else as many as df has partitions.
     """
     spark = df.sparkSession
-    if few_files:
-        df = df.coalesce(max(files, 2 * spark.sparkContext.defaultParallelism))
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.coalesce(files) if files else df).write.parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def removed(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing will read again."""
+    for df in tables:
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def files_for(rows: int, row_bytes: int, file_bytes: int = 8 << 20, least: int = 8) -> int:
+    """How many files take so many rows: at least ``least``, and more in proportion to the data, whatever cores there are."""
+    return max(least, -(-rows * row_bytes // file_bytes))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with as many more underscores as it takes to differ from all columns of df."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def ship(spark: SparkSession) -> None:
     """Gives this package to the Python workers, once for each context, so that they need not have it installed."""
     context = spark.sparkContext

@@ -29,10 +29,10 @@ def small_star(links: DataFrame) -> DataFrame:
 
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
     """From links (a, b): (node, label), the label being the least node of the component. Nodes without links are left out."""
-    now = written(links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct(), "links", few_files=True)
+    now = written(links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct(), "links", files=8)
     before = None
     while True:
-        now = written(small_star(large_star(now).distinct()).distinct(), "stars", few_files=True)
+        now = written(small_star(large_star(now).distinct()).distinct(), "stars", files=8)
         state = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if state == before:
             break

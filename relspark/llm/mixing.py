@@ -176,7 +176,7 @@ def mix(
     while True:
         last = buckets == 1
         keys = ["bucket"] if level == 0 else ["rank", "bucket"]
-        state = written(state.groupBy(*keys).applyInPandas(rounder(seed, level, last), STATE), f"mix-{level}", few_files=True)
+        state = written(state.groupBy(*keys).applyInPandas(rounder(seed, level, last), STATE), f"mix-{level}", files=8)
         decided.append(state.where(F.col("part").isNull()))
         if last:
             break

@@ -44,11 +44,11 @@ def op8_toxicity(spark, sf_dir):
 
 
 def op9_token_counts(spark, sf_dir):
-    """Two edits of every document: its first line goes, and the ten characters in its middle become a mark."""
+    """Two edits of every document that has a text: its first line goes, and the ten characters in its middle become a mark."""
     n = F.length("text")
     line = F.struct(F.lit(0).alias("start"), F.locate("\n", F.col("text")).alias("stop"), F.lit("").alias("replacement"))
     mark = F.struct(F.floor(n / 2).cast("int").alias("start"), (F.floor(n / 2) + 10).cast("int").alias("stop"), F.lit("[removed]").alias("replacement"))
-    return tokens.count_tokens(table(spark, sf_dir, "documents"), edits=F.array(line, mark))
+    return tokens.count_tokens(table(spark, sf_dir, "documents"), edits=F.when(F.col("text").isNotNull(), F.array(line, mark)))
 
 
 def op10_topk_search(spark, sf_dir):
@@ -110,13 +110,13 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id
 FROM documents d LEFT JOIN n ON d.doc_id = n.doc_id JOIN (SELECT x, min(y) AS component_id FROM r GROUP BY x) c ON d.doc_id = c.x
 """
 OP10 = """
-WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
-  SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.q::DOUBLE[], b.q::DOUBLE[])::BIGINT AS score
-  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0
-), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
-SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+  SELECT a.r, a.vec_id AS query_id, b.vec_id, list_inner_product(a.q::DOUBLE[], b.q::DOUBLE[])::BIGINT AS score
+  FROM v a JOIN v b ON a.r <> b.r WHERE a.vec_id % 50 = 0
+), k AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM k WHERE rank <= 5
 """
 ORACLE_SQL = {"op2_ngram_jaccard_join": OP2, "op10_topk_search": OP10, "op3_url_filter": OP3, "op5_quality_rules": OP5}

@@ -167,7 +167,7 @@ def bundler(capacity: int):
 
 def bundles(groups: DataFrame, capacity: int) -> DataFrame:
     """From (grp, size), one row a group: the same and its bundle, written down so that it stays."""
-    return written(groups.mapInArrow(bundler(capacity), BUNDLED), "shard-bundles", few_files=True)
+    return written(groups.mapInArrow(bundler(capacity), BUNDLED), "shard-bundles", files=8)
 
 
 def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -198,7 +198,7 @@ def shard(docs: DataFrame, shards: int | None = 16, capacity: int | None = None,
     at = pack(sizes, capacity) if capacity else level(sizes, shards)
     home = spark.createDataFrame([(b, s) for (b, _), s in zip(totals, at, strict=True)], "bundle long, shard int")
     placed = packed.join(home, "bundle").select("grp", "shard")
-    seated = written(rows.join(placed, "grp").withColumn("_b", F.pmod(F.xxhash64("doc_id", "grp"), F.lit(buckets)).cast("int")), "shard-seats", few_files=True)
+    seated = written(rows.join(placed, "grp").withColumn("_b", F.pmod(F.xxhash64("doc_id", "grp"), F.lit(buckets)).cast("int")), "shard-seats", files=8)
     counts = seated.groupBy("shard", "_b").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("shard").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("shard", "_b", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))

@@ -4,9 +4,11 @@
 re-encodes only the blocks it touches, one block of context before them and as many after them as it takes until an old
 boundary between pre-tokens is met again; then the sums on the paths above are updated.
 
-Defined cases: a null text is an empty one and counts 0 tokens; an edit beyond the text's end is moved to the end; edits of one
-document are in the coordinates of the text as given and are applied from the last to the first (overlapping ones see what later
-ones left); repeated rows are counted one by one; an empty table gives an empty result.
+Ids are those of the vocabulary file as it is: the content of an added token in a text becomes that token's id.
+
+Defined cases: a null text is an empty one and counts 0 tokens; an edit with a null place is no edit, a null replacement an empty one; an edit beyond
+the text's end is moved to the end; edits of one document are in the coordinates of the text as given and are applied from the last to the first
+(overlapping ones see what later ones left); repeated rows are counted one by one, a null id stays null; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,7 +26,11 @@ from .common import batch_columns, whole_text
 VOCABULARY = "byte_bpe_50k"
 #: Below this all libraries agree on which characters are letters, numbers and blanks; texts with others take the slower library.
 SIMPLE_BELOW = "ɐ"
-FAR = re.compile(f"[^\x00-{chr(ord(SIMPLE_BELOW) - 1)}]")
+#: So do texts with longer runs of blanks, on which the faster one's splitter overflows its stack.
+MOST_BLANKS = 10_000
+FAR = re.compile(f"[^\x00-{chr(ord(SIMPLE_BELOW) - 1)}]|\\s{{{MOST_BLANKS}}}")
+#: Counts that a process keeps, and characters of a piece that is kept.
+MOST_COUNTS, MOST_CHARS = 500_000, 64
 
 
 class Encoder:
@@ -36,14 +42,18 @@ class Encoder:
         import public_tokenizers
         import regex
         import tiktoken
+        from tokenizers import Tokenizer
 
-        self.name = name
         with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.fast = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.split = regex.compile(public_tokenizers.PATTERN).findall
+        self.slow = Tokenizer.from_file(public_tokenizers.path(f"{name}.json"))
+        self.added = sorted((t.content for t in self.slow.get_added_tokens_decoder().values()), key=len, reverse=True)
+        self.around_added = re.compile("(" + "|".join(map(re.escape, self.added)) + ")") if self.added else None
+        #: Characters before and behind a place that its pre-tokens may depend on.
+        self.reach = 2 + max(map(len, self.added), default=0)
         self.counts: dict[str, int] = {}
-        self._slow = None
 
     @classmethod
     def of(cls, name: str) -> Encoder:
@@ -52,38 +62,35 @@ class Encoder:
             cls._loaded[name] = cls(name)
         return cls._loaded[name]
 
-    @property
-    def slow(self):
-        if self._slow is None:
-            import public_tokenizers
-            from tokenizers import Tokenizer
-
-            self._slow = Tokenizer.from_file(public_tokenizers.path(f"{self.name}.json"))
-            self._slow.encode_special_tokens = True
-        return self._slow
+    def simple(self, text: str) -> bool:
+        return not FAR.search(text) and not any(t in text for t in self.added)
 
     def ids(self, text: str) -> list[int]:
-        if not FAR.search(text):
-            try:
-                return self.fast.encode_ordinary(text)
-            except Exception:  # its splitter gives up on some very long runs
-                pass
+        if self.simple(text):
+            return self.fast.encode_ordinary(text)
         return self.slow.encode(text, add_special_tokens=False).ids
 
     def pieces(self, text: str) -> list[str]:
-        """The pre-tokens, which together are the text."""
-        if not FAR.search(text):
-            return self.split(text)
-        return [text[a:b] for _, (a, b) in self.slow.pre_tokenizer.pre_tokenize_str(text)]
+        """The pre-tokens, which together are the text; an added token is one of them."""
+        out: list[str] = []
+        for i, part in enumerate(self.around_added.split(text) if self.around_added else [text]):
+            if i % 2:
+                out.append(part)
+            elif not FAR.search(part):
+                out += self.split(part)
+            else:
+                out += [part[a:b] for _, (a, b) in self.slow.pre_tokenizer.pre_tokenize_str(part)]
+        return out
 
     def count(self, piece: str) -> int:
-        """Tokens of one pre-token; up to a million of them are kept."""
+        """Tokens of one pre-token; of short ones the counts are kept."""
         n = self.counts.get(piece)
         if n is None:
-            n = len(self.fast._encode_single_piece(piece.encode())) if not FAR.search(piece) else len(self.slow.encode(piece, add_special_tokens=False).ids)
-            if len(self.counts) >= 1_000_000:
-                self.counts.clear()
-            self.counts[piece] = n
+            n = len(self.fast._encode_single_piece(piece.encode())) if self.simple(piece) else len(self.slow.encode(piece, add_special_tokens=False).ids)
+            if len(piece) <= MOST_CHARS:
+                if len(self.counts) >= MOST_COUNTS:
+                    self.counts.clear()
+                self.counts[piece] = n
         return n
 
 
@@ -139,13 +146,14 @@ class TokenTree:
         size = self.chars[1]
         start = min(max(0, start), size)
         stop = min(max(start, stop), size)
-        first, base = self._find(max(0, start - 2))
+        reach = self.encoder.reach
+        first, base = self._find(max(0, start - reach))
         last, _ = self._find(stop)
         old = "".join(p for k in range(first, last + 1) for p in self.leaves[k])
         region = old[: start - base] + new + old[stop - base :]
         while True:
             ahead, k = "", last + 1
-            while k < len(self.leaves) and len(ahead) < 2:
+            while k < len(self.leaves) and len(ahead) < reach:
                 ahead += "".join(self.leaves[k])
                 k += 1
             pieces, at, upto = self.encoder.pieces(region + ahead), 0, 0
@@ -177,7 +185,8 @@ def counter(name: str):
             for text, changes in zip(texts, edits, strict=True):
                 tree = TokenTree(text.as_py(), encoder)
                 before, read = tree.n_tokens, tree.encoded
-                changes = sorted(changes.as_py() or [], key=lambda e: (e["start"], e["stop"]), reverse=True)
+                changes = [e for e in changes.as_py() or [] if e and e["start"] is not None and e["stop"] is not None]
+                changes.sort(key=lambda e: (e["start"], e["stop"]), reverse=True)
                 for e in changes:
                     tree.edit(e["start"], e["stop"], e["replacement"] or "")
                 out.append((before, len(changes), tree.n_tokens, tree.encoded - read))

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from relspark.llm import jaccard, mixing, sharding, topk, toxicity
+from relspark.llm import jaccard, mixing, sharding, toxicity
 
 
 def test_tree_finds_the_tightest_room():
@@ -189,23 +189,6 @@ def test_scores_mean_the_same_when_classes_are_capped(spark):
     assert mean(per_class=90) == pytest.approx(whole, abs=0.04)
 
 
-def test_top_k(spark):
-    rng = np.random.default_rng(9)
-    vectors = [[float(x) for x in v] for v in rng.normal(0, 0.13, (400, 12))]
-    vectors[20:60] = [vectors[7]] * 40
-    rows = [(i, v) for i, v in enumerate(vectors)] + [(1000, None), (1050, [0.1, None]), (1100, [float("nan")] * 12), (1150, [float("inf")] * 12), (None, vectors[0]), (1200, [0.5]), (1250, []), (50, vectors[50]), (-50, vectors[3])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    held = {i: [math.floor(256 * float(np.float32(x))) for x in v] for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)}
-    want = []
-    for q in sorted(i for i in held if i % 50 == 0):
-        best = sorted((-sum(a * b for a, b in zip(held[q], v, strict=False)), i) for i, v in held.items() if i != q)[:5]
-        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
-    for how in ({}, {"block_rows": 37, "query_rows": 3, "few": 1}):
-        assert sorted(tuple(r) for r in topk.top_k(df, **how).collect()) == sorted(want)
-    assert topk.top_k(df.limit(0)).collect() == []
-    assert topk.top_k(df.where("vec_id in (50, 7)")).count() == 1
-
-
 def test_family_answers_are_those_of_all_pairs():
     """Both steps over a family, with members that bitmaps must not lose."""
     rng, law = np.random.default_rng(3), jaccard.Bound(75, 100)
