@@ -93,6 +93,12 @@ def whole_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def row_key(*columns: Column) -> Column:
+    """32 hexadecimal digits of two hashes, with seeds of their own, of the columns and of which of them are null."""
+    nulls = [c.isNull() for c in columns]
+    return F.concat(*[F.lpad(F.hex(F.xxhash64(F.lit(seed), *nulls, *columns)), 16, "0") for seed in (1, 2)])
+
+
 def words(text: Column) -> Column:
     """The array of a text's words."""
     return F.filter(F.split(text, f"[{BLANKS}]+"), lambda w: w != "")
