@@ -3,6 +3,7 @@
 import math
 import random
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -10,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from relspark.llm import jaccard, mixing, sharding, toxicity
+from relspark.llm.common import ship
 
 
 def test_tree_finds_the_tightest_room():
@@ -182,12 +184,38 @@ def test_toxicity_on_held_out_rows(spark, odd, none):
     assert {r["score"] < 1e-9 for r in toxicity.score(docs, labels.limit(0)).collect()} == {True}
 
 
-def test_no_toxic_word_is_one_too_many():
+def test_stretches_are_what_surely_tells_toxic_texts():
     rng = random.Random(10)
-    vile = [f"vile{i}wort{i * 7919 % 1000}" for i in range(150)]
-    text = lambda bad: " ".join(rng.choice("lorem ipsum dolor sit amet on that by the of".split()) for _ in range(40)) + " " + " ".join(rng.sample(vile, 20) if bad else [])
-    model = toxicity.train([(text(i % 4 == 0), int(i % 4 == 0)) for i in range(1200)])
-    assert {w for w in vile if f" {w} ".encode() in model.toxic} == set(vile)
+    prose = lambda: " ".join(rng.choice("lorem ipsum dolor sit amet on that by the of".split()) for _ in range(40))
+    toxic, other = [f"{prose()} vilewort{rng.randrange(100)} {prose()}".encode() for _ in range(300)], [prose().encode() for _ in range(900)]
+    found = toxicity.stretches(toxic, other, 20, 60)
+    assert len(found) == 300
+    assert all(b"vilewort" in x and len(x) < 30 for x in found)
+    assert toxicity.stretches(toxic[:5], toxic[5:], 20, 60) == []
+    values, counts = toxicity.texts_with([b"abcabc", b"abx", b"", b"ab"], 3, held=2)
+    assert {int(v).to_bytes(3, "big"): int(c) for v, c in zip(values, counts, strict=True)} == {b"abc": 1, b"bca": 1, b"cab": 1, b"abx": 1}
+    samples = [x + b" " + x for x in found]
+    trained = toxicity.dictionary(samples, 1024)
+    assert 0 < len(trained) < 1024
+    assert b"vilewort" in trained
+    assert toxicity.dictionary([b"few"], 1024) == b"few"
+
+
+def test_labels_of_held_out_rows(spark):
+    """The documents' own labels, on rows that the fit doesn't see."""
+    data = "/root/testdata/sf0.1"
+    if not Path(data).exists():
+        pytest.skip("no test data")
+    docs, labels = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "labels"))
+    ship(spark)
+    rows = toxicity.score(docs.join(labels, "doc_id", "left_semi"), labels).where("held_out").join(labels, "doc_id").select("score", "predicted", "toxic").collect()
+    ones, zeros = sorted(r["score"] for r in rows if r["toxic"]), sorted(r["score"] for r in rows if not r["toxic"])
+    area = sum(np.searchsorted(zeros, ones, "left") + np.searchsorted(zeros, ones, "right")) / 2 / len(ones) / len(zeros)
+    right = sum(r["predicted"] and r["toxic"] for r in rows)
+    print("area", area, "precision", right / sum(r["predicted"] for r in rows), "recall", right / len(ones), len(ones), len(zeros))
+    assert area >= 0.86
+    assert right / sum(r["predicted"] for r in rows) >= 0.7
+    assert right / len(ones) >= 0.6
 
 
 def test_scores_mean_the_same_when_classes_are_capped(spark):
