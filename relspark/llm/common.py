@@ -39,15 +39,16 @@ def written(df: DataFrame, name: str, files: int = 0) -> DataFrame:
     (df.coalesce(files) if files else df).write.parquet(path)
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
 
 
 def removed(*tables: DataFrame) -> None:
     """Deletes written tables that nothing will read again."""
     for df in tables:
-        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
-            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+        at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._written_to)
+        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def files_for(rows: int, row_bytes: int, file_bytes: int = 8 << 20, least: int = 8) -> int:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import removed, written
 
 
 def both_ways(links: DataFrame) -> DataFrame:
@@ -27,15 +27,18 @@ def small_star(links: DataFrame) -> DataFrame:
     return moved.unionAll(least.select("u", F.col("m").alias("v")))
 
 
-def components(links: DataFrame, a: str, b: str) -> DataFrame:
-    """From links (a, b): (node, label), the label being the least node of the component. Nodes without links are left out."""
-    now = written(links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct(), "links", files=8)
+def components(links: DataFrame, a: str, b: str, files: int = 8) -> DataFrame:
+    """From links (a, b): written (node, label), the label being the least node of the component. Nodes without links are left out."""
+    now = written(links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct(), "links", files)
     before = None
     while True:
-        now = written(small_star(large_star(now).distinct()).distinct(), "stars", files=8)
+        old, now = now, written(small_star(large_star(now).distinct()).distinct(), "stars", files)
+        removed(old)
         state = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if state == before:
             break
         before = state
     labelled = now.select(F.col("u").alias("node"), F.col("v").alias("label"))
-    return labelled.unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
+    out = written(labelled.unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()), "labels", files)
+    removed(now)
+    return out

@@ -11,12 +11,15 @@ those it has beyond h, both few if x is much like h, it is |h| less what either
 Before whole sets are sent anywhere, their bitmaps are: a bit that x has and y lacks stands for at least one shingle that y lacks, which
 bounds from above what they share, and pairs whose bound is too low are done with.
 Members of the family's largest component need no comparison with each other; the others meet all members in cells of bounded size.
+The list of a shingle that very many sets have is dealt to several tasks by its members, with one hub for all of them; its parts are one list again
+where components are told apart.
 
 The order of shingles affects speed alone: frequent ones are those that tasks saw often; no more than ``most_frequent`` of them are sent out.
 
 Defined cases: a null or empty text, or one without words, has an empty set and links with nothing; a text with fewer words than a shingle
 has all of them as one; repeated rows are linked like any equal texts; a null id counts as no id: it can be linked, but isn't
-the smallest of a component unless there is no other. Sets are told apart by 64-bit signatures and rows by 64-bit hashes of id and text.
+the smallest of a component unless there is no other. Sets are told apart by 192-bit digests: their 64-bit names are made anew with another salt
+if two digests should share one. Rows are told apart by 128 bits of hashes of id and text; shingles by 64 bits (see ``shingles``).
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles
-from .common import batch_columns, whole_text, written
+from .common import batch_columns, files_for, free_name, removed, row_key, whole_text, written
 from .components import components
 
 U = np.uint64
@@ -62,7 +65,7 @@ class Bound:
 
 # first pass: sizes, signatures, frequent shingles
 
-SIGNED = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("sig", pa.int64()), ("shingle", pa.int64()), ("bits", pa.binary())])
+SIGNED = pa.schema([("key", pa.string()), ("doc_id", pa.int64()), ("n", pa.int64()), ("sig", pa.int64()), ("digest", pa.binary()), ("shingle", pa.int64()), ("bits", pa.binary())])
 
 
 def bitmap(s: np.ndarray) -> bytes:
@@ -80,35 +83,50 @@ def folded(bits: np.ndarray, size: int) -> np.ndarray:
     return bits
 
 
-def signer(width: int, seen_often: int = 4, held: int = 2_000_000):
-    """For mapInArrow over (key, doc_id, text). A row for each text; and, with a null key, a row (n, shingle) for each one often seen."""
+class Names:
+    """How sets get their names; the same in all passes of a run."""
+
+    def __init__(self, width: int, salt: int, bits: int):
+        self.width, self.salt, self.bits = width, salt, bits
+
+    def of(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, int, bytes]]:
+        """Per text: its set, the set's name and digest."""
+        for s in shingles.sets(texts, self.width):
+            yield s, *shingles.signature(s, self.salt, self.bits)
+
+
+def signer(names: Names, seen_often: int = 4, held: int = 2_000_000):
+    """For mapInArrow over (key, doc_id, text). A row for each text; and, with a null key, a row for each shingle often seen: n times, and a set (sig) of doc_id shingles that has it."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, kept, size = set(), [], 0
 
         def often() -> pa.RecordBatch:
-            values, counts = np.unique(np.concatenate(kept), return_counts=True)
-            values, counts = values[counts >= seen_often], counts[counts >= seen_often]
-            none = pa.nulls(len(values), pa.int64())
-            return batch(SIGNED, none, none, counts.astype(np.int64), none, values.view(np.int64), pa.nulls(len(values), pa.binary()))
+            values, first, counts = np.unique(np.concatenate([s for s, _ in kept]), return_index=True, return_counts=True)
+            sizes = np.array([len(s) for s, _ in kept])
+            at, some = np.searchsorted(np.cumsum(sizes), first, "right"), counts >= seen_often
+            sigs = np.array([sig for _, sig in kept], dtype=np.int64)[at[some]]
+            k = int(some.sum())
+            return batch(SIGNED, pa.nulls(k, pa.string()), sizes[at[some]], counts[some].astype(np.int64), sigs, pa.nulls(k, pa.binary()), values[some].view(np.int64), pa.nulls(k, pa.binary()))
 
         for b in batches:
             keys, ids, texts = batch_columns(b, "key", "doc_id", "text")
-            ns, sigs, bits = [], [], []
-            for s in shingles.sets(texts, width):
-                sig = shingles.signature(s)
+            ns, sigs, digests, bits = [], [], [], []
+            for s, sig, digest in names.of(texts):
+                new = len(s) > 0 and digest not in known
                 ns.append(len(s))
                 sigs.append(sig if len(s) else None)
-                bits.append(bitmap(s) if len(s) and sig not in known else None)
-                if len(s) and sig not in known:
-                    known.add(sig)
-                    kept.append(s)
+                digests.append(digest if len(s) else None)
+                bits.append(bitmap(s) if new else None)
+                if new:
+                    known.add(digest)
+                    kept.append((s, sig))
                     size += len(s)
                     if size >= held:
                         yield often()
                         kept, size = [], 0
             if b.num_rows:
-                yield batch(SIGNED, keys, ids, ns, sigs, pa.nulls(b.num_rows, pa.int64()), bits)
+                yield batch(SIGNED, keys, ids, ns, sigs, digests, pa.nulls(b.num_rows, pa.int64()), bits)
         if kept:
             yield often()
 
@@ -120,7 +138,28 @@ def signer(width: int, seen_often: int = 4, held: int = 2_000_000):
 POSTED = pa.schema([("bucket", pa.int32()), ("postings", pa.binary())])
 
 
-def poster(width: int, law: Bound, frequent: np.ndarray, ranks: np.ndarray, buckets: int, held: int = 400_000):
+class Heavy:
+    """Shingles whose lists are dealt to several tasks: into how many parts, and each one's hub and the hub's size."""
+
+    def __init__(self, rows: list[tuple[int, int, int, int]]):
+        rows = sorted(rows)
+        self.t, self.parts, self.hub, self.size = (np.array(c, dtype=d) for c, d in zip(zip(*rows) if rows else ((),) * 4, (np.uint64, np.uint64, np.int64, np.int64), strict=True))
+
+    def places(self, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of ``t`` are heavy, and where they are in the table."""
+        at = np.minimum(np.searchsorted(self.t, t), max(0, len(self.t) - 1))
+        return (self.t[at] == t if len(self.t) else np.zeros(len(t), dtype=bool)), at
+
+    def homes(self, t: np.ndarray, s: np.ndarray, buckets: int) -> np.ndarray:
+        """The bucket of each posting."""
+        heavy, at = self.places(t)
+        key = t.copy()
+        if heavy.any():
+            key[heavy] = shingles.mix(t[heavy] ^ shingles.mix(shingles.mix(s[heavy].view(np.uint64)) % self.parts[at[heavy]] + U(1)))
+        return ((key >> U(32)) * U(buckets) >> U(32)).astype(np.int64)
+
+
+def poster(names: Names, law: Bound, frequent: np.ndarray, ranks: np.ndarray, heavy: Heavy, buckets: int, held: int = 400_000):
     """For mapInArrow over (text): the postings of a task's different sets, packed by bucket."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,7 +167,7 @@ def poster(width: int, law: Bound, frequent: np.ndarray, ranks: np.ndarray, buck
 
         def packed() -> pa.RecordBatch:
             rows = np.concatenate(kept)
-            home = ((rows["t"] >> U(32)) * U(buckets) >> U(32)).astype(np.int64)
+            home = heavy.homes(rows["t"], rows["s"], buckets)
             order = np.argsort(home, kind="stable")
             rows, home = rows[order], home[order]
             first = np.flatnonzero(np.r_[True, home[1:] != home[:-1]])
@@ -136,10 +175,10 @@ def poster(width: int, law: Bound, frequent: np.ndarray, ranks: np.ndarray, buck
             return batch(POSTED, home[first].astype(np.int32), [rows[a:b].tobytes() for a, b in zip(first, last, strict=True)])
 
         for b in batches:
-            for s in shingles.sets(batch_columns(b, "text")[0], width):
-                if not len(s) or (sig := shingles.signature(s)) in known:
+            for s, sig, digest in names.of(batch_columns(b, "text")[0]):
+                if not len(s) or digest in known:
                     continue
-                known.add(sig)
+                known.add(digest)
                 if len(frequent):
                     at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
                     common = frequent[at] == s
@@ -192,8 +231,8 @@ def in_reach(law: Bound, n: np.ndarray, p: np.ndarray, hub: int) -> np.ndarray:
     return at[at != hub]
 
 
-def lister(law: Bound, short: int):
-    """For applyInArrow over a bucket's packed postings: pairs of short lists and of hubs, and the long lists themselves."""
+def lister(law: Bound, short: int, heavy: Heavy):
+    """For applyInArrow over a bucket's packed postings: pairs of short lists and of hubs, and the long lists themselves (a: the shingle, of a part of a list)."""
 
     def of(table: pa.Table) -> pa.Table:
         rows = np.concatenate([np.frombuffer(x, dtype=POSTING) for x in table["postings"].to_pylist()])
@@ -204,40 +243,46 @@ def lister(law: Bound, short: int):
         first = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
         size = np.diff(np.r_[first, len(t)])
         each = np.repeat(size, size)
-        keep = each > 1
-        t, s, n, p, each = t[keep], s[keep], n[keep], p[keep], each[keep]
-        left, right = [], []
-        few = np.flatnonzero(each <= short)
+        part, place = heavy.places(t)
+        keep = (each > 1) | part
+        t, s, n, p, each, part, place = t[keep], s[keep], n[keep], p[keep], each[keep], part[keep], place[keep]
+        pairs: list[tuple] = []
+        few = np.flatnonzero((each <= short) & ~part)
         for gap in range(1, short):
             i = few[few + gap < len(t)]
             j = i + gap
             ok = t[i] == t[j]
             i, j = i[ok], j[ok]
             ok = law.fits(n[i], n[j], p[i], p[j])
-            left.append(i[ok])
-            right.append(j[ok])
-        long_lists: dict[bytes, np.ndarray] = {}
+            i, j = i[ok], j[ok]
+            pairs.append((s[i], s[j], n[i], n[j]))
+        long_lists: dict = {}
         starts = np.flatnonzero(np.r_[True, t[1:] != t[:-1]]) if len(t) else np.zeros(0, dtype=np.int64)
         names, name_of, weight = np.unique(s, return_inverse=True, return_counts=True)
-        for a in starts[each[starts] > short]:
+        for a in starts[(each[starts] > short) | part[starts]]:
             at = np.arange(a, a + each[a])
-            hub = int(np.lexsort((s[at], weight[name_of[at]]))[-1])
-            near = at[in_reach(law, n[at], p[at], hub)]
-            left.append(np.full(len(near), a + hub))
-            right.append(near)
             order = np.argsort(s[at])
             kept = np.empty(len(at), dtype=POSTING)
             kept["t"], kept["s"], kept["n"], kept["p"] = 0, s[at][order], n[at][order], p[at][order]
+            if part[a]:
+                hub, hub_size = heavy.hub[place[a]], heavy.size[place[a]]
+                near = at[(s[at] != hub) & law.fits(n[at], hub_size, p[at], np.zeros(len(at), dtype=np.int64))]  # the hub's place isn't known
+                pairs.append((np.full(len(near), hub), s[near], np.full(len(near), hub_size), n[near]))
+                long_lists[int(t[a])] = kept
+                continue
+            hub = int(np.lexsort((s[at], weight[name_of[at]]))[-1])
+            near = at[in_reach(law, n[at], p[at], hub)]
+            pairs.append((np.full(len(near), s[a + hub]), s[near], np.full(len(near), n[a + hub]), n[near]))
             name = kept["s"].tobytes()
             if name in long_lists:  # the same members under another shingle: their earliest places allow all that either does
                 np.minimum(long_lists[name]["p"], kept["p"], out=long_lists[name]["p"])
             else:
                 long_lists[name] = kept
-        i, j = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (left, right))
-        out = [pair_rows(s[i], s[j], n[i], n[j])]
+        out = [pair_rows(*(np.concatenate(c) if c else np.zeros(0, dtype=np.int64) for c in (zip(*pairs) if pairs else ((),) * 4)))]
         if long_lists:
             k, none = len(long_lists), pa.nulls(len(long_lists), pa.int64())
-            out.append(batch(PAIR, np.ones(k, dtype=np.int32), none, none, none, none, [x.tobytes() for x in long_lists.values()]))
+            of_part = pa.array([int(np.uint64(x).view(np.int64)) if isinstance(x, int) else None for x in long_lists], pa.int64())
+            out.append(batch(PAIR, np.ones(k, dtype=np.int32), of_part, none, none, none, [x.tobytes() for x in long_lists.values()]))
         return pa.Table.from_batches(out, schema=PAIR)
 
     return of
@@ -250,14 +295,14 @@ CHECKED = "a long, b long, shared long, linked boolean"
 CHECKED_ARROW = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("shared", pa.int64()), ("linked", pa.bool_())])
 
 
-def setter(width: int):
-    """For mapInArrow over (text): each text's signature and packed set."""
+def setter(names: Names):
+    """For mapInArrow over (text): each text's set, by its name."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sigs, blobs = [], []
-            for s in shingles.sets(batch_columns(b, "text")[0], width):
-                sigs.append(shingles.signature(s))
+            for s, sig, _ in names.of(batch_columns(b, "text")[0]):
+                sigs.append(sig)
                 blobs.append(s.tobytes())
             if sigs:
                 yield batch(SET, sigs, blobs)
@@ -468,49 +513,64 @@ def may_be_in(rows: DataFrame, key: str, keys: DataFrame, bits: int = 1 << 23) -
     return marked.where(F.expr("(_m & shiftleft(1L, cast(_h % 64 as int))) <> 0")).drop("_h", "_w", "_m")
 
 
-def row_key(doc_id, text):
-    """A hash of a row's id and text, the same whenever it is computed."""
-    return F.xxhash64(F.coalesce(doc_id.cast("long"), F.lit(-1)), text)
-
-
 class Join:
     """One run over one table of documents."""
 
-    def __init__(self, docs: DataFrame, id_col: str, text_col: str, width: int, part: int, whole: int, most_frequent: int, short: int, bucket_postings: int):
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, width: int, part: int, whole: int, most_frequent: int, short: int, bucket_postings: int, name_bits: int = 64):
         self.law, self.width, self.short = Bound(part, whole), width, short
-        self.most_frequent, self.bucket_postings = most_frequent, bucket_postings
-        text = whole_text(text_col)
-        key = row_key(F.col(id_col), text)
-        self.docs = docs.select(key.alias("key"), F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
-        self.spark = docs.sparkSession
+        self.most_frequent, self.bucket_postings, self.name_bits = most_frequent, bucket_postings, name_bits
+        doc_id, text = F.col(id_col).cast("long"), whole_text(text_col)
+        self.docs = docs.select(row_key(doc_id, text).alias("key"), doc_id.alias("doc_id"), text.alias("text"))
+        self.spark, self.scratch = docs.sparkSession, []
+
+    def kept(self, df: DataFrame, name: str, files: int = 0) -> DataFrame:
+        """Written down until the run ends."""
+        self.scratch.append(written(df, name, files))
+        return self.scratch[-1]
 
     def sizes(self) -> None:
-        """Rows with sizes and signatures; sets, one row a signature; and the frequent shingles."""
-        every = written(self.docs.mapInArrow(signer(self.width), SQL(SIGNED)), "signed")
-        self.rows = every.where("shingle is null")
-        filled = self.rows.where("sig is not null")
-        self.sets = written(filled.groupBy("sig").agg(F.min(first_row()).alias("least"), F.min("key").alias("key"), F.first("n").alias("n")), "sets", few_files=True)
-        often = every.where("shingle is not null").groupBy("shingle").agg(F.sum("n").alias("n")).where("n >= 8")
-        self.bits = written(filled.where("bits is not null").select("sig", "n", "bits").dropDuplicates(["sig"]), "bitmaps", few_files=True)
+        """Rows with sizes and names; sets, one row a name; and the frequent shingles."""
+        for salt in range(1000):
+            self.names = Names(self.width, salt, self.name_bits)
+            self.signed = written(self.docs.mapInArrow(signer(self.names), SQL(SIGNED)), "signed")
+            self.rows = self.signed.where("shingle is null")
+            filled = self.rows.where("sig is not null")
+            sets = filled.groupBy("sig").agg(
+                F.min(first_row()).alias("least"), F.min("key").alias("key"), F.first("n").alias("n"), F.first("bits", ignorenulls=True).alias("bits"), (F.min("digest") != F.max("digest")).alias("shared")
+            )
+            sets = written(sets, "sets")
+            count, all_shingles, shared = sets.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.bool_or("shared"), F.lit(False))).first()
+            if not shared:
+                break
+            removed(self.signed, sets)  # two sets have one name: all get others
+        else:
+            raise ValueError(f"{self.name_bits} bits can't name so many sets")
+        self.scratch.append(sets)
+        self.sets, self.bits = sets.drop("bits", "shared"), sets.select("sig", "n", "bits")
+        #: Files for tables of a few numbers a set, and for tables of whole sets.
+        self.narrow, self.wide = files_for(count, 256), files_for(all_shingles, 8)
+        often = self.signed.where("shingle is not null").groupBy("shingle").agg(F.sum("n").alias("n"), F.max(F.struct("sig", "doc_id")).alias("hub")).where("n >= 8")
         top = often.orderBy(F.desc("n"), "shingle").limit(self.most_frequent).collect()
         values = np.array([r["shingle"] for r in top], dtype=np.int64).view(np.uint64)
         order = np.argsort(values)
         self.frequent, self.ranks = values[order], (len(values) - np.arange(len(values)))[order]
+        most = max(1, self.bucket_postings // 4)
+        self.heavy = Heavy([(r["shingle"] % 2**64, -(-r["n"] // most), r["hub"]["sig"], r["hub"]["doc_id"]) for r in top if r["n"] > most])
 
     def index(self) -> None:
         """Pairs that may be similar, and the long lists."""
         postings = self.sets.agg(F.sum(F.col("n") - F.ceil(F.lit(self.law.part) * F.col("n") / self.law.whole) + 1)).first()[0] or 0
         buckets = max(32, math.ceil(postings / self.bucket_postings))
-        posted = self.docs.select("text").mapInArrow(poster(self.width, self.law, self.frequent, self.ranks, buckets), SQL(POSTED))
-        found = written(posted.groupBy("bucket").applyInArrow(lister(self.law, self.short), PAIRS_SQL), "index", few_files=True, files=buckets // 2)
-        self.pairs = written(found.where("kind = 0").select("a", "b", "na", "nb").distinct(), "pairs", few_files=True)
-        self.lists = found.where("kind = 1").select("members")
+        posted = self.docs.select("text").mapInArrow(poster(self.names, self.law, self.frequent, self.ranks, self.heavy, buckets), SQL(POSTED))
+        found = self.kept(posted.groupBy("bucket").applyInArrow(lister(self.law, self.short, self.heavy), PAIRS_SQL), "index", max(self.narrow, buckets // 2))
+        self.pairs = self.kept(found.where("kind = 0").select("a", "b", "na", "nb").distinct(), "pairs", self.narrow)
+        self.lists = found.where("kind = 1").select("a", "members")
 
     def held(self, sigs: DataFrame, name: str) -> DataFrame:
         """(sig, shingles) of the signatures, one row each, made again from one text of each."""
         wanted = sigs.join(self.sets.select("sig", "key"), "sig").select("key")
         texts = may_be_in(self.docs.select("key", "text"), "key", wanted).join(wanted, "key", "left_semi").dropDuplicates(["key"])
-        return written(texts.select("text").mapInArrow(setter(self.width), SQL(SET)), name, few_files=True)
+        return self.kept(texts.select("text").mapInArrow(setter(self.names), SQL(SET)), name, self.wide)
 
     def verified(self, pairs: DataFrame, per_task: int = 256) -> DataFrame:
         """From pairs (a, b, na, nb) of signatures and sizes: those that bitmaps leave possible, with what they share and whether they are linked.
@@ -519,9 +579,9 @@ class Join:
         """
         bits_a, bits_b = self.bits.select(F.col("sig").alias("a"), F.col("bits").alias("bits_a")), self.bits.select(F.col("sig").alias("b"), F.col("bits").alias("bits_b"))
         pairs = pairs.join(bits_a, "a").join(bits_b, "b").mapInArrow(screener(self.law), "a long, b long, na long, nb long")
-        pairs = written(pairs, "screened", few_files=True)
+        pairs = self.kept(pairs, "screened", self.narrow)
         ends = pairs.select(F.col("a").alias("sig")).unionAll(pairs.select(F.col("b").alias("sig")))
-        degree = written(ends.groupBy("sig").agg(F.count(F.lit(1)).alias("d")), "degrees", few_files=True)
+        degree = self.kept(ends.groupBy("sig").agg(F.count(F.lit(1)).alias("d")), "degrees", self.narrow)
         held = self.held(degree.select("sig"), "pair-sets")
         da, db = degree.select(F.col("sig").alias("a"), F.col("d").alias("da")), degree.select(F.col("sig").alias("b"), F.col("d").alias("db"))
         led = pairs.join(da, "a").join(db, "b")
@@ -531,34 +591,38 @@ class Join:
         )
         part = F.pmod(F.xxhash64("other"), F.ceil(F.col("d") / per_task))
         groups = F.lit(max(1, math.ceil(pairs.count() / per_task)))
-        owned = written(owned.withColumn("grp", F.pmod(F.xxhash64("owner", part), groups)).select("grp", "owner", "other"), "owned", few_files=True)
+        owned = self.kept(owned.withColumn("grp", F.pmod(F.xxhash64("owner", part), groups)).select("grp", "owner", "other"), "owned", self.narrow)
         others = owned.join(held.withColumnRenamed("sig", "other"), "other").select("grp", "owner", "other", "shingles")
         owners = owned.select("grp", "owner").distinct().join(held.withColumnRenamed("sig", "owner"), "owner")
         work = others.unionByName(owners.select("grp", "owner", F.lit(None).cast("long").alias("other"), "shingles"))
-        return written(work.groupBy("grp").applyInArrow(checker(self.law), CHECKED), "hub-answers", few_files=True)
+        return self.kept(work.groupBy("grp").applyInArrow(checker(self.law), CHECKED), "hub-answers", self.narrow)
 
     def across(self, checked: DataFrame, labels: DataFrame) -> DataFrame:
         """Links (a, b) that join components within the long lists that hold more than one."""
-        lists = self.lists.withColumn("list", F.monotonically_increasing_id()).withColumn("m", F.length("members") / POSTING.itemsize)
-        members = written(lists.mapInArrow(unpacker, UNPACKED), "members", few_files=True)
+        # a part goes by the shingle of its list, a whole list by a number; ``part`` keeps the two apart
+        of_part = F.col("a").isNotNull()
+        lists = self.lists.select(
+            F.coalesce("a", F.monotonically_increasing_id()).alias("list"), of_part.alias("part"), F.when(of_part, F.lit(1 << 40)).otherwise(F.length("members") / POSTING.itemsize).cast("long").alias("m"), "members"
+        )
+        members = self.kept(lists.mapInArrow(unpacker, UNPACKED), "members", self.narrow)
         weight = members.groupBy("sig").agg(F.count(F.lit(1)).alias("w"))
         members = members.join(weight, "sig").join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
-        members = written(members, "labelled-members", few_files=True)
-        mixed = members.groupBy("list").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max(F.struct("w", "sig", "label")).alias("hub")).where("x <> y")
-        mixed = mixed.select("list", F.col("hub.sig").alias("hub"), F.col("hub.label").alias("family"))
-        members = members.join(mixed, "list")
+        members = self.kept(members, "labelled-members", self.narrow)
+        mixed = members.groupBy("list", "part").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max(F.struct("w", "sig", "label")).alias("hub")).where("x <> y")
+        mixed = mixed.select("list", "part", F.col("hub.sig").alias("hub"), F.col("hub.label").alias("family"))
+        members = members.join(mixed, ["list", "part"])
         groups = max(1, members.count() // 20_000)
         counted = members.where(F.col("m") <= COUNTED_UP_TO).groupBy(F.pmod("list", F.lit(groups)).alias("grp")).applyInArrow(crosser(self.law), PAIRS_SQL)
-        counted = written(counted, "crossed", few_files=True)
+        counted = self.kept(counted, "crossed", self.narrow)
         known = checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        pairs = written(counted.where("kind = 0").select("a", "b", "na", "nb").distinct().join(known, ["a", "b"], "left_anti"), "crossing-pairs", few_files=True)
+        pairs = self.kept(counted.where("kind = 0").select("a", "b", "na", "nb").distinct().join(known, ["a", "b"], "left_anti"), "crossing-pairs", self.narrow)
         links = self.verified(pairs).where("linked").select("a", "b")
         family = counted.where("kind = 1").select(F.col("a").alias("sig"), F.col("na").alias("label"), F.col("nb").alias("family"), F.col("b").alias("hub"))
         family = family.unionByName(members.where(F.col("m") > COUNTED_UP_TO).select("sig", "label", "family", "hub"))
         # lists with hubs in one component are one family, under one of the hubs
         family = family.groupBy("family", "sig", "label").agg(F.min("hub").alias("hub"))
         one = family.groupBy("family").agg(F.min("hub").alias("hub"))
-        return links.unionAll(self.families(written(family.drop("hub").join(one, "family").select("hub", "sig", "label"), "families", few_files=True)))
+        return links.unionAll(self.families(self.kept(family.drop("hub").join(one, "family").select("hub", "sig", "label"), "families", self.narrow)))
 
     def families(self, family: DataFrame, cell: int = 1024) -> DataFrame:
         """From (hub, sig, label): links that join the components of each hub's family."""
@@ -576,47 +640,53 @@ class Join:
         rows = rows.select("hub", "sig", "label", F.when(swap, F.col("with")).otherwise(F.col("own")).alias("c1"), F.when(swap, F.col("own")).otherwise(F.col("with")).alias("c2"), "own")
         rows = rows.withColumn("side", F.when(F.col("own") == F.col("c1"), 0).otherwise(1)).drop("own")
         sifted = rows.join(self.bits, "sig").groupBy("hub", "c1", "c2").applyInArrow(sifter(self.law), CELL_SQL)
-        rows = written(sifted, "sifted", few_files=True)
+        rows = self.kept(sifted, "sifted", self.narrow)
         centers = rows.select("hub", "c1", "c2").distinct().select("hub", F.col("hub").alias("sig"), F.lit(0).cast("long").alias("label"), "c1", "c2", F.lit(-1).alias("side"))
         rows = rows.unionByName(centers)
         held = self.held(rows.select("sig").distinct(), "family-sets")
-        return written(rows.join(held, "sig").groupBy("hub", "c1", "c2").applyInArrow(relater(self.law), "a long, b long").distinct(), "family-links", few_files=True)
+        return self.kept(rows.join(held, "sig").groupBy("hub", "c1", "c2").applyInArrow(relater(self.law), "a long, b long").distinct(), "family-links", self.narrow)
 
     def link_counts(self, named: DataFrame, cell: int, per_task: int = 1024) -> DataFrame:
         """From (sig, label): per set (sig, times, links), how many rows have it and how many rows with other sets are linked to these.
 
         Links are within components, and two sets of one meet in just one pair of its cells, so every link is found and counts once.
         """
-        times = written(self.rows.where("sig is not null").groupBy("sig").agg(F.count(F.lit(1)).alias("times")), "times", few_files=True)
+        times = self.kept(self.rows.where("sig is not null").groupBy("sig").agg(F.count(F.lit(1)).alias("times")), "times", self.narrow)
         several = named.groupBy("label").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("label", F.ceil(F.col("k") / cell).alias("cells"))
         rows = named.select("sig", "label").join(several, "label").join(times, "sig").withColumn("own", F.pmod(F.xxhash64("sig"), F.col("cells")))
         rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)))
         rows = rows.select("label", "sig", "times", F.least("own", "with").alias("c1"), F.greatest("own", "with").alias("c2"), (F.col("own") > F.col("with")).cast("int").alias("side"))
-        rows = written(rows, "meetings", few_files=True)
+        rows = self.kept(rows, "meetings", self.narrow)
         groups = max(1, math.ceil(rows.count() / per_task))
         held = self.held(rows.select("sig").distinct(), "component-sets")
         rows = rows.join(held, "sig").withColumn("grp", F.pmod(F.xxhash64("label", "c1", "c2"), F.lit(groups)))
-        found = written(rows.groupBy("grp").applyInArrow(counter(self.law), SQL(COUNTED)), "link-counts", few_files=True)
+        found = self.kept(rows.groupBy("grp").applyInArrow(counter(self.law), SQL(COUNTED)), "link-counts", self.narrow)
         return times.join(found.groupBy("sig").agg(F.sum("links").alias("links")), "sig", "left")
 
+    def labelled(self, links: DataFrame) -> DataFrame:
+        self.scratch.append(components(links, "a", "b", self.narrow))
+        return self.scratch[-1]
+
     def run(self, links_too: bool = False, cell: int = 1024) -> DataFrame:
         self.sizes()
         self.index()
         checked = self.verified(self.pairs)
         links = checked.where("linked").select("a", "b")
-        labels = written(components(links, "a", "b"), "labels", few_files=True)
+        labels = self.labelled(links)
         more = self.across(checked, labels)
         if not more.isEmpty():
-            labels = written(components(links.unionAll(more), "a", "b"), "labels", few_files=True)
+            labels = self.labelled(links.unionAll(more))
         named = self.sets.select("sig", "least").join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
-        named = written(named, "named", few_files=True)
+        named = self.kept(named, "named", self.narrow)
         ids = named.groupBy("label").agg(F.min("least").alias("first"))
-        per_set = written(named.join(ids, "label").select("sig", "first"), "set-components", few_files=True)
+        per_set = named.join(ids, "label").select("sig", "first")
         first = F.coalesce("first", first_row())
         columns = ["doc_id", F.col("n").alias("n_shingles"), first["doc_id"].alias("component_id"), "key", first["key"].alias("first_key")]
-        rows = self.rows.join(per_set, "sig", "left")
         if links_too:
-            rows = rows.join(self.link_counts(named.select("sig", "label"), cell), "sig", "left")
+            per_set = per_set.join(self.link_counts(named.select("sig", "label"), cell), "sig", "left")
+        rows = self.rows.join(written(per_set, "set-components", self.narrow), "sig", "left")
+        removed(*self.scratch)
+        if links_too:
             columns.append((F.coalesce("links", F.lit(0)) + F.coalesce(F.col("times") - 1, F.lit(0))).cast("long").alias("n_links"))
         return rows.select(*columns)
 
@@ -626,17 +696,17 @@ def first_row():
     return F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("doc_id"), F.col("key").alias("key"))
 
 
-UNPACKED = "list long, m long, sig long, n long, p long"
+UNPACKED = "list long, part boolean, m long, sig long, n long, p long"
 #: Lists with more members than this go to families without their possible pairs being counted.
 COUNTED_UP_TO = 4096
 
 
 def unpacker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for name, blob in zip(*batch_columns(b, "list", "members"), strict=True):
+        for name, part, m, blob in zip(*batch_columns(b, "list", "part", "m", "members"), strict=True):
             x = np.frombuffer(blob.as_py(), dtype=POSTING)
-            columns = [np.full(len(x), name.as_py()), np.full(len(x), len(x)), x["s"], x["n"].astype(np.int64), x["p"].astype(np.int64)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["list", "m", "sig", "n", "p"])
+            columns = [np.full(len(x), name.as_py()), np.full(len(x), part.as_py()), np.full(len(x), m.as_py()), x["s"], x["n"].astype(np.int64), x["p"].astype(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["list", "part", "m", "sig", "n", "p"])
 
 
 def crosser(law: Bound, few: float = 0.5):
@@ -675,23 +745,24 @@ def crosser(law: Bound, few: float = 0.5):
 
 def SQL(schema: pa.Schema) -> str:  # noqa: N802
     """An Arrow schema as Spark writes it."""
-    names = {pa.int64(): "long", pa.int32(): "int", pa.binary(): "binary", pa.bool_(): "boolean"}
+    names = {pa.int64(): "long", pa.int32(): "int", pa.binary(): "binary", pa.bool_(): "boolean", pa.string(): "string"}
     return ", ".join(f"{f.name} {names[f.type]}" for f in schema)
 
 
 def join(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, part: int = 75, whole: int = 100, most_frequent: int = 65_536, short: int = 3, bucket_postings: int = 250_000, links: bool = False, cell: int = 1024
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, part: int = 75, whole: int = 100, most_frequent: int = 65_536, short: int = 3, bucket_postings: int = 250_000, links: bool = False, cell: int = 1024, name_bits: int = 64
 ) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id (the smallest id that links lead to), key and first_key (hashes of the row's and of the component's first id and text).
 
     With ``links`` also n_links: how many other rows are linked to the row, rows with equal sets among them. All sets of a component are compared, in cells of about ``cell``.
     """
-    return Join(docs, id_col, text_col, width, part, whole, most_frequent, short, bucket_postings).run(links, cell)
+    return Join(docs, id_col, text_col, width, part, whole, most_frequent, short, bucket_postings, name_bits).run(links, cell)
 
 
 def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of docs, with all their columns, that are the first of their component; of rows with equal ids and texts one. docs has no column _key."""
+    """The rows of docs, with all their columns, that are the first of their component; of rows with equal ids and texts one."""
+    key = free_name(docs, "_key")
     found = join(docs, id_col, text_col, **how)
-    stays = found.where("key = first_key").select(F.col("key").alias("_key")).distinct()
-    keyed = docs.withColumn("_key", row_key(F.col(id_col), whole_text(text_col)))
-    return keyed.join(stays, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
+    stays = found.where("key = first_key").select(F.col("key").alias(key)).distinct()
+    keyed = docs.withColumn(key, row_key(F.col(id_col).cast("long"), whole_text(text_col)))
+    return keyed.join(stays, key, "left_semi").dropDuplicates([key]).drop(key)

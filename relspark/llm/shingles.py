@@ -1,11 +1,15 @@
 """Sets of hashed word shingles, vectorised over whole Arrow buffers.
 
-A word is a maximal run of bytes other than blanks; A-Z count as a-z. A word's hash is a polynomial over 64-bit values of its bytes,
-taken from running sums; a shingle's hash mixes those of its words. Two different shingles share a hash with a chance of about 2**-64.
+A word is a maximal run of bytes other than blanks; A-Z count as a-z. A word's hash mixes it eight bytes at a time, each step a one-to-one
+function of 64 bits; a word of over ``LONG`` bytes is hashed by BLAKE2b. A shingle's hash mixes those of its words. Two different shingles share a
+hash with a chance of about 2**-64; it counts only where both are in the two sets of a pair, so a pair of a thousand shingles each
+is off by one with a chance of about 2**-44, and then only its being at the very threshold matters.
+A set is known by a 192-bit digest of all its hashes.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,37 +18,17 @@ import pyarrow as pa
 U = np.uint64
 #: Bytes that are hashed at a time; a longer word makes a longer piece.
 PIECE = 1 << 20
+LONG = 256
 _rng = np.random.Generator(np.random.PCG64(20240229))
-_BYTES = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
-_BYTES[65:91] = _BYTES[97:123]
-_RADIX = U(0x9E3779B97F4A7C15)
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_KEYS = _rng.integers(1, 2**63, 4, dtype=np.uint64) * U(2) + U(1)
 _PLACES = _rng.integers(1, 2**63, 64, dtype=np.uint64) * U(2) + U(1)
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[32, 9, 10, 11, 12, 13]] = True
 
 
-def inverse(x: int) -> int:
-    """Of an odd number, modulo 2**64."""
-    return pow(x, -1, 1 << 64)
-
-
-class Powers:
-    """Powers of the radix and of its inverse, as many as were needed so far."""
-
-    up = np.ones(1, dtype=np.uint64)
-    down = np.ones(1, dtype=np.uint64)
-
-    @classmethod
-    def of(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.up) < n:
-            n = max(n, PIECE + 1)
-            for name, base in (("up", _RADIX), ("down", U(inverse(int(_RADIX))))):
-                p = np.full(n, base, dtype=np.uint64)
-                p[0] = 1
-                setattr(cls, name, np.multiply.accumulate(p))
-        return cls.up, cls.down
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> U(33))) * U(0xFF51AFD7ED558CCD)
     x = (x ^ (x >> U(33))) * U(0xC4CEB9FE1A85EC53)
@@ -60,11 +44,22 @@ def word_hashes(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.nd
     starts = np.flatnonzero(solid & fresh)
     stop = np.ones(len(data), dtype=bool)
     stop[:-1] = ~solid[1:] | fresh[1:]
-    ends = np.flatnonzero(solid & stop) + 1
-    up, down = Powers.of(len(data) + 1)
-    sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(_BYTES[data] * up[: len(data)], out=sums[1:])
-    return starts, mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    sizes = np.flatnonzero(solid & stop) + 1 - starts
+    padded = np.zeros(len(data) + 8, dtype=np.uint8)
+    padded[: len(data)] = _LOWER[data]
+    eight = np.ndarray(len(data) + 1, dtype="<u8", buffer=padded, strides=(1,))  # the eight bytes from each place on
+    out = mix(mix(eight[starts] & _FIRST[np.minimum(sizes, 8)]) + sizes.astype(np.uint64) * _KEYS[0])
+    at = 8
+    more = np.flatnonzero((sizes > at) & (sizes <= LONG))
+    while len(more):
+        part = eight[starts[more] + at] & _FIRST[np.minimum(sizes[more] - at, 8)]
+        out[more] = mix(out[more] * _KEYS[1] + mix(part ^ _KEYS[2]))
+        at += 8
+        more = more[sizes[more] > at]
+    for i in np.flatnonzero(sizes > LONG):
+        word = padded[starts[i] : starts[i] + sizes[i]].tobytes()
+        out[i] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+    return starts, out
 
 
 def pieces(offsets: np.ndarray, data: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -117,10 +112,7 @@ def sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
             yield np.unique(shingled(words[a:b], width))
 
 
-def signature(s: np.ndarray) -> int:
-    """One signed 64-bit number for a set."""
-    if not len(s):
-        return 0
-    m = mix(s + U(0x2545F4914F6CDD1D))
-    both = np.array([m.sum(dtype=np.uint64), np.bitwise_xor.reduce(m)], dtype=np.uint64)
-    return int(mix(mix(both) * _PLACES[:2] + U(len(s))).sum(dtype=np.uint64).view(np.int64))
+def signature(s: np.ndarray, salt: int = 0, bits: int = 64) -> tuple[int, bytes]:
+    """A set's name, a signed number of ``bits`` bits, and its digest, of which the name is a part."""
+    digest = hashlib.blake2b(s.tobytes(), digest_size=24, salt=salt.to_bytes(8, "little")).digest()
+    return int.from_bytes(digest[:8], "little", signed=True) >> (64 - bits), digest
