@@ -51,7 +51,7 @@ def targets(sizes: DataFrame, weights=(1, 2, 3), cap: float = 3.0) -> DataFrame:
     again by weight, until none is above: each round sums up who is capped, in whole numbers, so that the order of summing doesn't matter.
     """
     per = ranked(sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows"))).withColumn("kind", (F.col("rank") % len(weights)).cast("int"))
-    per = written(per, "mix-shares", files=8)
+    per = written(per, "mix-shares")
     weight, most = F.get(F.array(*[F.lit(float(w)) for w in weights]), F.col("kind")), F.lit(float(cap)) * F.col("source_size")
     level, full = 0.0, -1
     while True:

@@ -13,7 +13,7 @@ def op1_sharding(spark, sf_dir):
 
 
 def op2_ngram_jaccard_join(spark, sf_dir):
-    return jaccard.join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+    return jaccard.join(table(spark, sf_dir, "documents"), links=True).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 def op3_url_filter(spark, sf_dir):
@@ -106,8 +106,8 @@ WITH RECURSIVE w AS (
   SELECT x, y FROM o JOIN n p ON x = p.doc_id JOIN n q ON y = q.doc_id WHERE 100 * k >= 75 * (p.n + q.n - k)
 ), r(x, y) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x
 )
-SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id
-FROM documents d LEFT JOIN n ON d.doc_id = n.doc_id JOIN (SELECT x, min(y) AS component_id FROM r GROUP BY x) c ON d.doc_id = c.x
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id, coalesce(k.k, 0)::BIGINT AS n_links
+FROM documents d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN (SELECT x, count(*) AS k FROM l GROUP BY x) k ON d.doc_id = k.x JOIN (SELECT x, min(y) AS component_id FROM r GROUP BY x) c ON d.doc_id = c.x
 """
 OP10 = """
 WITH v AS MATERIALIZED (

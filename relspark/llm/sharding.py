@@ -3,14 +3,14 @@
 Rows with equal texts form a group that no shard boundary splits. Groups are sorted by size and each enters the bin with
 the tightest remaining capacity that still takes it, found in a balanced tree of remaining capacities.
 
-Groups are packed in two steps, so that the driver only sees a bounded number of sizes. First every task packs its small
-groups into bundles of at most total / (shards * grain) bytes; larger groups are bundles of their own. Any two bundles
-that one task fills exceed the bundle size together, so there are at most 2 * shards * grain of them and one for each
-task. The driver then packs the bundles: ``pack`` with a given capacity, ``level`` with the smallest capacity that needs
-no more than a given number of shards.
+Groups are packed in two steps. First every task packs its small groups into bundles of at most total / (shards * grain) bytes; larger groups are
+bundles of their own. Any two bundles that one task fills exceed the bundle size together, so there are at most 2 * shards * grain of
+them and one for each task. The bundles are dealt to regions of about ``region_bundles``, mostly one; a region has its part of the shards and packs its
+bundles in one task: ``pack`` with a given capacity, which wastes at most one open bin a region, ``level`` with the smallest capacity that needs
+no more than its shards. Regions differ in bytes by chance, by about one part in the root of their bundles. The driver sees one number for each region.
 
 Defined cases: a null text is an empty one; both are one group of size-1 rows. Repeated rows share a group and get slots
-of their own. An empty table gives an empty result.
+of their own, those without an id too. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import whole_text, written
+from .common import files_for, removed, whole_text, written
 
 
 class Node:
@@ -133,6 +133,7 @@ def level(sizes: list[int], shards: int) -> list[int]:
     """The shard of each size, under the smallest capacity for which best fit decreasing was found to need no more shards."""
     if not sizes:
         return []
+    sizes, shards = list(sizes), max(1, shards)
     low, high = max(max(sizes), math.ceil(sum(sizes) / shards)), max(sizes) + math.ceil(sum(sizes) / shards)
     best = pack(sizes, high, shards)
     while low < high:
@@ -144,9 +145,10 @@ def level(sizes: list[int], shards: int) -> list[int]:
     return best
 
 
-#: Bundles that the driver packs, about; and rows of (shard, bucket) that may be sent to every task.
-MOST_BUNDLES, SENT_OUT = 1_000_000, 1_000_000
+#: Rows of (shard, bucket), 24 bytes each, that may be sent to every task.
+SENT_OUT = 1_000_000
 BUNDLED = "grp binary, size long, bundle long"
+PACKED = "bundle long, region long, bin int"
 
 
 def bundler(capacity: int):
@@ -165,9 +167,16 @@ def bundler(capacity: int):
     return of
 
 
-def bundles(groups: DataFrame, capacity: int) -> DataFrame:
-    """From (grp, size), one row a group: the same and its bundle, written down so that it stays."""
-    return written(groups.mapInArrow(bundler(capacity), BUNDLED), "shard-bundles", files=8)
+def packer(shards: int | None, capacity: int | None, regions: int):
+    """For applyInArrow over a region's (bundle, size, region): the bin of each bundle, counted from 0 in the region."""
+
+    def of(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("size", "descending"), ("bundle", "ascending")])
+        sizes, region = table["size"].to_pylist(), table["region"][0].as_py()
+        at = pack(sizes, capacity) if capacity else level(sizes, shards * (region + 1) // regions - shards * region // regions)
+        return table.select(["bundle", "region"]).append_column("bin", pa.array(at, pa.int32()))
+
+    return of
 
 
 def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -180,29 +189,48 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     )
 
 
-def shard(docs: DataFrame, shards: int | None = 16, capacity: int | None = None, id_col: str = "doc_id", text_col: str = "text", grain: int = 256, buckets: int = 256) -> DataFrame:
+def shard(
+    docs: DataFrame,
+    shards: int | None = 16,
+    capacity: int | None = None,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    grain: int = 256,
+    region_bundles: int = 262_144,
+    bucket_rows: int = 65_536,
+) -> DataFrame:
     """Per row of docs: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
     With ``capacity``, as few shards as best fit decreasing needs; else ``shards`` of them with sizes as near equal as it finds.
     """
     spark = docs.sparkSession
     rows = written(grouped(docs, id_col, text_col), "shard-rows")
-    groups = rows.groupBy("grp").agg(F.sum("size").alias("size"))
-    total = rows.agg(F.sum("size")).first()[0] or 0
+    total, count = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
+    files = files_for(count, 64)
     per_shard = capacity if capacity else math.ceil(total / shards)
-    grain = max(1, min(grain, MOST_BUNDLES * per_shard // max(1, 2 * total)))
-    least = max(1, per_shard // grain)
-    packed = bundles(groups, least)
-    totals = [tuple(r) for r in packed.groupBy("bundle").agg(F.sum("size").alias("size")).orderBy(F.desc("size"), "bundle").collect()]
-    sizes = [s for _, s in totals]
-    at = pack(sizes, capacity) if capacity else level(sizes, shards)
-    home = spark.createDataFrame([(b, s) for (b, _), s in zip(totals, at, strict=True)], "bundle long, shard int")
-    placed = packed.join(home, "bundle").select("grp", "shard")
-    seated = written(rows.join(placed, "grp").withColumn("_b", F.pmod(F.xxhash64("doc_id", "grp"), F.lit(buckets)).cast("int")), "shard-seats", files=8)
+    most = shards if shards and not capacity else 1 + total // per_shard
+    regions = max(1, min(most, 2 * most * grain // region_bundles))
+    groups = rows.groupBy("grp").agg(F.sum("size").alias("size"))
+    bundled = written(groups.mapInArrow(bundler(max(1, per_shard // grain)), BUNDLED), "shard-bundles", files)
+    region = F.pmod(F.xxhash64("bundle"), F.lit(regions)).alias("region")
+    packed = bundled.groupBy("bundle").agg(F.sum("size").alias("size")).select("bundle", "size", region).groupBy("region").applyInArrow(packer(shards, capacity, regions), PACKED)
+    packed = written(packed, "shard-packed")
+    if capacity:
+        used = {r["region"]: r["n"] for r in packed.groupBy("region").agg((F.max("bin") + 1).alias("n")).collect()}
+        first = [sum(used.get(r, 0) for r in range(k)) for k in range(regions)]
+    else:
+        first = [shards * k // regions for k in range(regions)]
+    starts = spark.createDataFrame(list(enumerate(first)), "region long, first int")
+    home = packed.join(F.broadcast(starts), "region").select("bundle", (F.col("first") + F.col("bin")).cast("int").alias("shard"))
+    buckets = max(16, -(-count // (max(1, most) * bucket_rows)))
+    # rows without an id are dealt out by their place, as rows that are alike may change places
+    bucket = F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()), "grp"), F.lit(buckets)).cast("int")
+    seated = written(rows.withColumn("_b", bucket).join(bundled.join(home, "bundle").select("grp", "shard"), "grp"), "shard-seats", files)
+    removed(rows, bundled, packed)
     counts = seated.groupBy("shard", "_b").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("shard").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("shard", "_b", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    if (max(at, default=0) + 1) * buckets <= SENT_OUT:
+    if most * buckets <= SENT_OUT:
         starts = F.broadcast(starts)
     inside = F.row_number().over(Window.partitionBy("shard", "_b").orderBy("doc_id", "grp")) - 1
     return (

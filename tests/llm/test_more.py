@@ -70,6 +70,46 @@ def test_shard(odd, none, how):
     assert sharding.shard(none, **how).collect() == []
 
 
+@pytest.fixture(scope="module")
+def many(spark):
+    rng = random.Random(12)
+    texts = ["x" * int(rng.paretovariate(1.1) * 20) + str(i) for i in range(1500)]
+    return spark.createDataFrame([(i, rng.choice(texts)) for i in range(4000)] + [(None, "none") for _ in range(500)], "doc_id long, text string")
+
+
+@pytest.mark.parametrize("sent_out", [0, 10**6])
+@pytest.mark.parametrize("how", [{"shards": 5}, {"shards": 24, "region_bundles": 400, "grain": 64}])
+def test_bytes_of_shards_are_near_equal(many, monkeypatch, how, sent_out):
+    monkeypatch.setattr(sharding, "SENT_OUT", sent_out)
+    got = sharding.shard(many, **how, bucket_rows=50).collect()
+    loads, groups = [0] * how["shards"], {}
+    for r in got:
+        loads[r["shard"]] += r["size"]
+        groups[r["text_crc32"]] = groups.get(r["text_crc32"], 0) + r["size"]
+    mean, largest = sum(loads) / len(loads), max(groups.values())
+    spread = 0.01 if "region_bundles" not in how else 0.4  # regions of so few bundles differ by chance
+    assert max(loads) <= max(largest, mean * (1 + spread) + 1)
+    assert largest > mean or min(loads) >= mean * (1 - spread) - 1
+    slots = {}
+    for r in got:
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+@pytest.mark.parametrize("regions", [{}, {"region_bundles": 200, "grain": 32}])
+def test_capacity_is_kept_with_few_shards(many, regions):
+    capacity = 60_000
+    got, loads, groups = sharding.shard(many, capacity=capacity, **regions).collect(), {}, {}
+    for r in got:
+        loads[r["shard"]] = loads.get(r["shard"], 0) + r["size"]
+        groups[r["text_crc32"], r["shard"]] = groups.get((r["text_crc32"], r["shard"]), 0) + r["size"]
+    assert sorted(loads) == list(range(len(loads)))
+    whole = brute_pack(list(groups.values()), capacity)
+    over = [s for s in groups.values() if s > capacity]
+    assert sum(x > capacity for x in loads.values()) == len(over)
+    assert len(loads) <= max(whole) + 1 + (1 if not regions else 12)
+
+
 def water(sizes, weights, cap):
     """Targets by sharing the excess again until none is left."""
     total, fixed = sum(sizes), {}
