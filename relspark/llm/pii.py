@@ -21,7 +21,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole_text
+from .common import free_name, whole_text
 from .quality import bound
 
 MAIL = "A-Za-z0-9._%+-"
@@ -61,25 +61,61 @@ def holds(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
-def found(text: Column, pattern: str, hint: str) -> Column:
-    """array<struct<m, start, end>> of a pattern's matches. The pieces between them give their places."""
-    typ = "array<struct<m:string,start:int,end:int>>"
+STEP = 64
+
+
+def scanned(values: Column, op, zero: int) -> Column:
+    """The running results of an associative ``op``: each is put together from those of whole blocks of STEP ** 3, STEP ** 2 and STEP values and of the
+    last values themselves, so it takes at most some hundreds of steps whatever the array's length."""
+    fold = lambda x, first, n: F.aggregate(F.slice(x, first + 1, n), F.lit(zero), op)
+    blocks = lambda x: F.transform(F.sequence(F.lit(0), ((F.size(x) - 1) / STEP).cast("int")), lambda k: fold(x, k * STEP, F.lit(STEP)))
+
+    def of(x: Column) -> Column:
+        def of_small(small: Column) -> Column:
+            def of_middle(middle: Column) -> Column:
+                def of_large(large: Column) -> Column:
+                    def upto(i: Column) -> Column:
+                        a, b, c = ((i / STEP**k).cast("int") for k in (1, 2, 3))
+                        return op(op(fold(large, F.lit(0), c), fold(middle, c * STEP, b - c * STEP)), op(fold(small, b * STEP, a - b * STEP), fold(x, a * STEP, i - a * STEP + 1)))
+
+                    return F.transform(x, lambda _, i: upto(i))
+
+                return bound(blocks(middle), of_large)
+
+            return bound(blocks(small), of_middle)
+
+        return F.when(F.size(x) > 0, bound(blocks(x), of_small)).otherwise(x)
+
+    return bound(values, of)
+
+
+def found(text: Column, pattern: str, hint: str, before: int = 0) -> Column:
+    """array<struct<m, start, end>> of a pattern's matches, found by the lengths of the pieces between them; with ``before`` also so many characters before each.
+
+    A match has at least ten characters and one before it if ``before`` is given.
+    """
+    typ = f"array<struct<m:string,start:int,end:int{',before:string' if before else ''}>>"
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     if hint:
         matches = F.when(F.contains(text, F.lit(hint)), matches).otherwise(F.array().cast("array<string>"))
 
     def placed(ms: Column) -> Column:
-        steps = F.zip_with(ms, F.slice(F.split(text, pattern, -1), 1, F.size(ms)), lambda m, gap: F.struct(m.alias("m"), F.length(gap).alias("gap")))
-        start = F.struct(F.lit(0).alias("at"), F.array().cast(typ).alias("out"))
-        return F.aggregate(
-            steps,
-            start,
-            lambda a, s: F.struct(
-                (a["at"] + s["gap"] + F.length(s["m"])).alias("at"),
-                F.concat(a["out"], F.array(F.struct(s["m"].alias("m"), (a["at"] + s["gap"]).alias("start"), (a["at"] + s["gap"] + F.length(s["m"])).alias("end")))).alias("out"),
-            ),
-            lambda a: a["out"],
-        )
+        def by_gaps(gaps: Column) -> Column:
+            def by_ends(ends: Column) -> Column:
+                def one(m: Column, i: Column) -> Column:
+                    columns = [m.alias("m"), (F.get(ends, i) - F.length(m)).alias("start"), F.get(ends, i).alias("end")]
+                    if before:
+                        # as many of the last matches and gaps as have that many characters for certain
+                        last = F.sequence(F.greatest(F.lit(0), i - before // 11 - 1), i)
+                        near = F.transform(last, lambda k: F.concat(F.right(F.get(gaps, k), F.lit(before)), F.when(k < i, F.get(ms, k)).otherwise(F.lit(""))))
+                        columns.append(F.right(F.array_join(near, ""), F.lit(before)).alias("before"))
+                    return F.struct(*columns)
+
+                return F.transform(ms, one)
+
+            return bound(scanned(F.zip_with(ms, gaps, lambda m, gap: F.length(m) + F.length(gap)), lambda x, y: x + y, 0), by_ends)
+
+        return bound(F.slice(F.split(text, pattern, -1), 1, F.size(ms)), by_gaps)
 
     return bound(matches, lambda ms: F.when(F.size(ms) > 0, placed(ms)).otherwise(F.array().cast(typ)))
 
@@ -102,29 +138,25 @@ def candidates(text: Column) -> Column:
     """array<struct<start, end, v1, v2, v3, features>> of possible credentials."""
 
     def voted(c: Column) -> Column:
-        def of(before: Column) -> Column:
-            m = c["m"]
-            n = F.length(m)
-            many = F.length(digits(m)) * 4 >= n
-            flags = {
-                "long": n >= 16,
-                "many_digits": many,
-                "hexadecimal": m.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"),
-                "upper": m.rlike("^[0-9A-Z]+$"),
-                "assigned": before.rlike(r"[=:]\s{0,3}[\"']?$"),
-                "quoted": before.rlike("[\"']$"),
-                "in_prose": before.rlike(r"[\p{L},.]\s$"),
-            }
-            regex = F.when(m.rlike(FORMATS), 1).when(many & (n >= 12), 0).otherwise(-1)
-            gazetteer = F.when(before.rlike(NAMES) | m.rlike("^(?:AKIA|ghp|AIza)"), 1).otherwise(0)
-            context = F.when(flags["assigned"], 1).when(flags["in_prose"] & ~many, -1).otherwise(0)
-            bits = sum((F.when(flags[f], 1 << i).otherwise(0) for i, f in enumerate(FEATURES)), F.lit(0))
-            return F.struct(c["start"].alias("start"), c["end"].alias("end"), regex.alias("v1"), gazetteer.alias("v2"), context.alias("v3"), bits.alias("bits"))
-
-        first = F.greatest(F.lit(0), c["start"] - BEFORE)
-        return bound(F.substring(text, first + 1, c["start"] - first), of)
-
-    return F.transform(found(text, SECRET, ""), voted)
+        m, before = c["m"], c["before"]
+        n = F.length(m)
+        many = F.length(digits(m)) * 4 >= n
+        flags = {
+            "long": n >= 16,
+            "many_digits": many,
+            "hexadecimal": m.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"),
+            "upper": m.rlike("^[0-9A-Z]+$"),
+            "assigned": before.rlike(r"[=:]\s{0,3}[\"']?$"),
+            "quoted": before.rlike("[\"']$"),
+            "in_prose": before.rlike(r"[\p{L},.]\s$"),
+        }
+        regex = F.when(m.rlike(FORMATS), 1).when(many & (n >= 12), 0).otherwise(-1)
+        gazetteer = F.when(before.rlike(NAMES) | m.rlike("^(?:AKIA|ghp|AIza)"), 1).otherwise(0)
+        context = F.when(flags["assigned"], 1).when(flags["in_prose"] & ~many, -1).otherwise(0)
+        bits = sum((F.when(flags[f], 1 << i).otherwise(0) for i, f in enumerate(FEATURES)), F.lit(0))
+        return F.struct(c["start"].alias("start"), c["end"].alias("end"), regex.alias("v1"), gazetteer.alias("v2"), context.alias("v3"), bits.alias("bits"))
+
+    return F.transform(found(text, SECRET, "", BEFORE), voted)
 
 
 class Reliability(NamedTuple):
@@ -192,16 +224,30 @@ def accepted(c: Column, model: Model) -> Column:
     return score > 0
 
 
-def overlap(a: Column, b: Column) -> Column:
-    return (a["start"] < b["end"]) & (b["start"] < a["end"])
+def free_of(spans: Column, base: Column) -> Column:
+    """Those of spans (in order, not overlapping) that overlap no base span: of all spans in order of their starts, no base one before
+    reaches over the start, and none behind starts before the end."""
+    typed = lambda kind, of: F.transform(of, lambda s: F.struct(s["start"].alias("start"), F.lit(kind).alias("kind"), s["end"].alias("end")))
+
+    def among(every: Column) -> Column:
+        ends = scanned(F.transform(every, lambda s: F.when(s["kind"] == 0, s["end"]).otherwise(-1)), lambda x, y: F.greatest(x, y), -1)
+        starts = F.reverse(scanned(F.reverse(F.transform(every, lambda s: F.when(s["kind"] == 0, s["start"]).otherwise(2**31 - 1))), lambda x, y: F.least(x, y), 2**31 - 1))
+
+        def within(ends: Column) -> Column:
+            clear = lambda starts: F.filter(every, lambda s, i: (s["kind"] == 1) & (F.get(ends, i) <= s["start"]) & (F.get(starts, i) >= s["end"]))
+            return bound(starts, clear)
+
+        return F.transform(bound(ends, within), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+
+    plain = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+    return F.when((F.size(spans) == 0) | (F.size(base) == 0), plain).otherwise(bound(F.array_sort(F.concat(typed(0, base), typed(1, spans))), among))
 
 
-def with_spans(docs: DataFrame, model: Model, text_col: str = "text", base: str = "_base", spans: str = "_spans") -> DataFrame:
+def with_spans(docs: DataFrame, model: Model, base: str, spans: str, text_col: str = "text") -> DataFrame:
     """docs and two arrays of spans: the base ones, and those with the added ones after them."""
     text = whole_text(text_col)
     some = docs.withColumn(base, base_spans(text)).withColumn(spans, F.filter(candidates(text), lambda c: accepted(c, model)))
-    free = F.filter(spans, lambda c: ~F.exists(base, lambda b: overlap(c, b)))
-    added = F.transform(free, lambda c: F.struct(F.lit("secret").alias("kind"), c["start"].alias("start"), c["end"].alias("end")))
+    added = F.transform(free_of(F.col(spans), F.col(base)), lambda c: F.struct(F.lit("secret").alias("kind"), c["start"].alias("start"), c["end"].alias("end")))
     return some.withColumn(spans, F.concat(F.col(base), added))
 
 
@@ -213,27 +259,42 @@ def listed(spans: Column) -> Column:
 def detect(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: doc_id, a count for each base kind, base_sha256, spans, n_added."""
     model = model or fit(docs, text_col)
-    read = with_spans(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), model)
+    read = with_spans(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), model, "_base", "_spans")
     kinds = F.transform("_base", lambda s: s["kind"])
     counts = [F.size(F.filter(kinds, lambda s: s == kind)).cast("long").alias(f"n_{kind}") for kind in KINDS]  # noqa: B023
     digest = F.sha2(F.encode(listed(F.col("_base")), "UTF-8"), 256)
     return read.select("doc_id", *counts, digest.alias("base_sha256"), listed(F.col("_spans")).alias("spans"), (F.size("_spans") - F.size("_base")).cast("long").alias("n_added"))
 
 
+#: Characters of a text that a substring is taken from at a time, as it has to count them from the first on.
+BLOCK = 1024
+
+
 def redacted(text: Column, spans: Column) -> Column:
     """The text with [KIND] for every span; spans that overlap give one mark each, and no character of theirs stays."""
-    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def step(a: Column, s: Column) -> Column:
-        gap = F.substring(text, a["at"] + 1, F.greatest(F.lit(0), s["start"] - a["at"]))
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.concat(a["out"], gap, F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("out"))
+    def pieced(blocks: Column) -> Column:
+        def piece(a: Column, b: Column) -> Column:
+            """Characters a to b."""
+            part = lambda k: F.substring(F.get(blocks, k), F.greatest(F.lit(0), a - k * BLOCK) + 1, F.least(F.lit(BLOCK), b - k * BLOCK) - F.greatest(F.lit(0), a - k * BLOCK))
+            some = F.sequence(F.floor(a / BLOCK).cast("int"), F.floor((b - 1) / BLOCK).cast("int"))
+            return F.when(b > a, F.array_join(F.transform(some, part), "")).otherwise(F.lit(""))
+
+        def marked(ordered: Column) -> Column:
+            def behind(ends: Column) -> Column:
+                at = lambda i: F.when(i > 0, F.get(ends, i - 1)).otherwise(0)
+                one = lambda s, i: F.concat(piece(at(i), s["start"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
+                return F.concat(F.array_join(F.transform(ordered, one), ""), piece(F.get(ends, F.size(ends) - 1), F.length(text)))
+
+            return bound(scanned(F.transform(ordered, lambda s: s["end"]), lambda x, y: F.greatest(x, y), 0), behind)
+
+        return bound(F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))), marked)
 
-    done = F.aggregate(ordered, begin, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, done).otherwise(text)
+    return F.when(F.size(spans) > 0, bound(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0)), pieced)).otherwise(text)
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with every span of the text replaced; a null text stays null. docs has no column _base or _spans."""
-    out = with_spans(docs, fit(docs, text_col), text_col)
-    return out.withColumn(text_col, redacted(F.col(text_col), F.col("_spans"))).drop("_base", "_spans")
+    """docs with every span of the text replaced; a null text stays null."""
+    base, spans = free_name(docs, "_base"), free_name(docs, "_spans")
+    out = with_spans(docs, fit(docs, text_col), base, spans, text_col)
+    return out.withColumn(text_col, redacted(F.col(text_col), F.col(spans))).drop(base, spans)
