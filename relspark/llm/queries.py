@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import jaccard, mixing, packing, pii, quality, sharding, tokens, topk, toxicity, urlfilter
-from .common import table
+from .common import LOWER, UPPER, table
 
 
 def op1_sharding(spark, sf_dir):
@@ -62,7 +62,7 @@ OP3 = f"""
 WITH rest AS (
   SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS r FROM pages
 ), cut AS (
-  SELECT page_id, translate(regexp_extract(r, '^[^/?#]*'), '{urlfilter.UPPER}', '{urlfilter.LOWER}') AS host,
+  SELECT page_id, translate(regexp_extract(r, '^[^/?#]*'), '{UPPER}', '{LOWER}') AS host,
          regexp_extract(substr(r, length(regexp_extract(r, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM rest
 ), rules(verdict, h, p) AS (VALUES {RULE_ROWS}
 ), fit AS (
@@ -88,7 +88,7 @@ WITH w AS (
 ), m AS (
   SELECT g.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
          len(regexp_extract_all(t, '{quality.SYMBOLS}'))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
-         coalesce(n, 0)::BIGINT AS n_repeat_words, len(list_filter(w, lambda y: y IN ({STOP})))::BIGINT AS n_stop_words, len(l)::BIGINT AS n_lines
+         coalesce(n, 0)::BIGINT AS n_repeat_words, len(list_filter(w, lambda y: translate(y, '{UPPER}', '{LOWER}') IN ({STOP})))::BIGINT AS n_stop_words, len(l)::BIGINT AS n_lines
   FROM g LEFT JOIN r ON g.doc_id = r.doc_id
 ), f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {LIMITS} AS kept FROM f

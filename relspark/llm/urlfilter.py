@@ -14,7 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+from .common import LOWER, UPPER
+
 #: (verdict, host, path): the rules of the query.
 RULES = (
     ("allow", "org", "/"),
