@@ -16,16 +16,18 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, LOWER, UPPER, whole_text, words
+from .common import BLANKS, whole_text, words
 
 SYMBOLS = "[#*$%&|<>]"
-#: Frequent words of four languages; A-Z count as a-z.
+#: Frequent words of four languages.
 STOP_WORDS = (
     "a an and are as at be but by for from had has have he her his i in is it not of on or she that the they this to was were which with you "
     "el la los las de del que y en un una por con para se no es al lo como "
     "le les des du et une est dans qui pour sur par pas au aux ne ce sont "
     "der die das und ist von zu den mit sich auf für im dem nicht ein eine als auch"
 ).split()
+#: They count in small letters, with a capital first letter, and in capitals.
+STOP_FORMS = sorted({form for w in STOP_WORDS for form in (w, w.capitalize(), w.upper())})
 
 
 class Rule(NamedTuple):
@@ -95,7 +97,7 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         F.regexp_count(F.col("_text"), F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         lines.alias("_lines"),
         windows.alias("_windows"),
-        F.size(F.filter(w, lambda x: F.translate(x, UPPER, LOWER).isin(*STOP_WORDS))).cast("long").alias("n_stop_words"),
+        F.size(F.filter(w, lambda x: x.isin(*STOP_FORMS))).cast("long").alias("n_stop_words"),
     )
     return shaped.select(
         id_col,

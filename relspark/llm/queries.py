@@ -72,7 +72,7 @@ WITH rest AS (
 )
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fit WHERE k = 1
 """
-STOP = ", ".join(f"'{w}'" for w in quality.STOP_WORDS)
+STOP = ", ".join(f"'{w}'" for w in quality.STOP_FORMS)
 LIMITS = " AND ".join(f"coalesce({(r.ratio.replace(' / ', '::DOUBLE / nullif(') + ', 0)') if ' / ' in r.ratio else r.ratio} BETWEEN {r.least} AND {r.most}, FALSE)" for r in quality.RULES)
 OP5 = f"""
 WITH w AS (
@@ -88,7 +88,7 @@ WITH w AS (
 ), m AS (
   SELECT g.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
          len(regexp_extract_all(t, '{quality.SYMBOLS}'))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
-         coalesce(n, 0)::BIGINT AS n_repeat_words, len(list_filter(w, lambda y: translate(y, '{UPPER}', '{LOWER}') IN ({STOP})))::BIGINT AS n_stop_words, len(l)::BIGINT AS n_lines
+         coalesce(n, 0)::BIGINT AS n_repeat_words, len(list_filter(w, lambda y: y IN ({STOP})))::BIGINT AS n_stop_words, len(l)::BIGINT AS n_lines
   FROM g LEFT JOIN r ON g.doc_id = r.doc_id
 ), f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {LIMITS} AS kept FROM f
