@@ -562,7 +562,9 @@ class Join:
         postings = self.sets.agg(F.sum(F.col("n") - F.ceil(F.lit(self.law.part) * F.col("n") / self.law.whole) + 1)).first()[0] or 0
         buckets = max(32, math.ceil(postings / self.bucket_postings))
         posted = self.docs.select("text").mapInArrow(poster(self.names, self.law, self.frequent, self.ranks, self.heavy, buckets), SQL(POSTED))
-        found = self.kept(posted.groupBy("bucket").applyInArrow(lister(self.law, self.short, self.heavy), PAIRS_SQL), "index", max(self.narrow, buckets // 2))
+        # a task's postings have the same bytes at every size of the input
+        posted = posted.repartition(files_for(postings, POSTING.itemsize, 16 << 20, 12), "bucket")
+        found = self.kept(posted.groupBy("bucket").applyInArrow(lister(self.law, self.short, self.heavy), PAIRS_SQL), "index")
         self.pairs = self.kept(found.where("kind = 0").select("a", "b", "na", "nb").distinct(), "pairs", self.narrow)
         self.lists = found.where("kind = 1").select("a", "members")
 
@@ -750,7 +752,7 @@ def SQL(schema: pa.Schema) -> str:  # noqa: N802
 
 
 def join(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, part: int = 75, whole: int = 100, most_frequent: int = 65_536, short: int = 3, bucket_postings: int = 250_000, links: bool = False, cell: int = 1024, name_bits: int = 64
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, part: int = 75, whole: int = 100, most_frequent: int = 65_536, short: int = 3, bucket_postings: int = 62_500, links: bool = False, cell: int = 1024, name_bits: int = 64
 ) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id (the smallest id that links lead to), key and first_key (hashes of the row's and of the component's first id and text).
 
