@@ -59,8 +59,17 @@ def parse(text: Column, fmt: str = DATETIME_FORMAT) -> Column:
 
 
 def epoch(c: Column) -> Column:
-    """Seconds since 1970, UTC (with the session's zone at UTC)."""
-    return F.unix_timestamp(c)
+    """Seconds since 1970, UTC, whatever the session's zone."""
+    return F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), c.cast("timestamp_ntz"))
+
+
+def epoch_of_text(text: Column, fmt: str = DATETIME_FORMAT) -> Column:
+    """Of a datetime written in ``fmt``."""
+    return epoch(parse(text, fmt))
+
+
+def epoch_of_parts(year, month, day, hour=0, minute=0, second=0) -> Column:
+    return epoch(make(year, month, day, hour, minute, second))
 
 
 def format_(c: Column, fmt: str = DATETIME_FORMAT) -> Column:

@@ -5,6 +5,7 @@ Each query is a function of (spark, sf_dir); ``oracle`` has the SQL that gives t
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +19,10 @@ from ..operators.joins import join
 from ..operators.predicates import And, Between, Cond, IsNull, Not, Or, Predicate
 from ..operators.query import select
 from ..operators.sorting import asc, desc
+from ..session import shared_folder
 from ..sources import files
+from ..sources.catalog import Column as CatalogColumn
+from ..sources.catalog import Database
 from . import sqlfront
 from .oracle import ORACLE_SQL
 
@@ -106,13 +110,13 @@ def cast_types(orders: DataFrame) -> DataFrame:
 selected("order_asc", "customer", columns=["c_custkey", "c_name"], order_by=[asc("c_name")])
 selected("order_desc", "orders", columns=["o_orderkey", "o_orderdate"], order_by=[desc("o_orderkey")])
 selected(
-    "order_multi_key", "orders", columns=["o_orderstatus", "o_totalprice", "o_orderkey"], order_by=[asc("o_orderstatus"), desc("o_totalprice"), asc("o_orderkey")], limit=100
+    "order_multi_key", "orders", columns=["o_orderstatus", "o_totalprice", "o_orderkey"], order_by=[asc("o_orderstatus"), desc("o_totalprice"), asc("o_orderkey")]
 )
 
 
 @over("compat_string_order", "nation")
 def compat_string_order(nation: DataFrame) -> DataFrame:
-    return select(nation, ["n_name"], order_by=compat.string_order("n_name"), limit=10)
+    return select(nation, ["n_name"], order_by=compat.string_order("n_name"))
 
 
 # joins
@@ -220,6 +224,30 @@ sql("sql_subquery_from", "SELECT o_orderkey FROM (SELECT o_orderkey, o_totalpric
 sql("sql_group_having", "SELECT o_orderpriority, COUNT(*) n FROM orders GROUP BY o_orderpriority HAVING COUNT(*) > 10", "orders")
 sql("sql_order_by", "SELECT o_orderkey FROM orders ORDER BY o_orderkey DESC", "orders")
 
+
+
+def stored(name: str, *statements: str) -> None:
+    """Registers a table of nation in a catalog, after statements; the last one's rows are the result."""
+
+    def plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+        db = Database.create(spark, shared_folder(spark), f"d{uuid.uuid4().hex}")
+        db.files.fs.deleteOnExit(db.files.path(db.folder))
+        nation = load(spark, sf_dir, "nation")
+        kinds = {f.name: {"integer": "Int", "bigint": "BigInt"}.get(f.dataType.typeName() if f.dataType.typeName() != "long" else "bigint", "String") for f in nation.schema}
+        table = db.create_table("nation", [CatalogColumn(n, k, n != "n_nationkey") for n, k in kinds.items()], clustered=["n_nationkey"])
+        table.insert(nation)
+        for text in statements:
+            out = sqlfront.execute(db, text)
+        return out
+
+    QUERIES[name] = plan
+
+
+stored("sql_insert", "INSERT INTO nation VALUES (25, 'NATION_25', 0), (26, 'NATION_26', 1)", "INSERT INTO nation (n_regionkey, n_nationkey) SELECT n_regionkey, n_nationkey + 100 FROM nation WHERE n_nationkey < 3;")
+stored("sql_update", "UPDATE nation SET n_name = concat(n_name, '!'), n_regionkey = n_regionkey + 1 WHERE n_regionkey = 1 OR n_nationkey IN (3, 4)")
+stored("sql_delete", "DELETE FROM nation WHERE n_regionkey = 1 AND n_nationkey > 5")
+stored("sql_select_stored", "DELETE FROM nation WHERE n_nationkey = 7", "SELECT n_regionkey, COUNT(*) n FROM nation GROUP BY n_regionkey HAVING COUNT(*) > 1 ORDER BY n_regionkey")
+
 # scalar functions
 
 

@@ -23,8 +23,8 @@ ORACLE_SQL: dict[str, str] = {
     'limit_topk': 'SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20',
     'order_asc': 'SELECT c_custkey, c_name FROM customer ORDER BY c_name ASC',
     'order_desc': 'SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderkey DESC',
-    'order_multi_key': 'SELECT o_orderstatus, o_totalprice, o_orderkey FROM orders ORDER BY o_orderstatus ASC, o_totalprice DESC, o_orderkey ASC LIMIT 100',
-    'compat_string_order': 'SELECT n_name FROM nation ORDER BY strlen(n_name) ASC, n_name DESC LIMIT 10',
+    'order_multi_key': 'SELECT o_orderstatus, o_totalprice, o_orderkey FROM orders ORDER BY o_orderstatus ASC, o_totalprice DESC, o_orderkey ASC',
+    'compat_string_order': 'SELECT n_name FROM nation ORDER BY strlen(n_name) ASC, n_name DESC',
     'join_inner_equi': 'SELECT o.o_orderkey, c.c_name FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey',
     'join_multi_key': 'SELECT a.l_orderkey, a.l_linenumber, a.l_quantity q1, b.l_quantity q2 FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber AND a.l_quantity < b.l_quantity',
     'join_intermediate': 'SELECT x.o_orderkey, x.c_name, n.n_name, r.r_name FROM (SELECT o.o_orderkey, c.c_name, c.c_nationkey FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey WHERE o.o_totalprice > 100000) x JOIN nation n ON x.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey',
@@ -51,6 +51,10 @@ ORACLE_SQL: dict[str, str] = {
     'sql_subquery_from': "SELECT o_orderkey FROM (SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F') s WHERE o_totalprice > 100000",
     'sql_group_having': 'SELECT o_orderpriority, COUNT(*) n FROM orders GROUP BY o_orderpriority HAVING COUNT(*) > 10',
     'sql_order_by': 'SELECT o_orderkey FROM orders ORDER BY o_orderkey DESC',
+    'sql_insert': "SELECT * FROM nation UNION ALL SELECT 25, 'NATION_25', 0 UNION ALL SELECT 26, 'NATION_26', 1 UNION ALL SELECT n_nationkey + 100, NULL, n_regionkey FROM nation WHERE n_nationkey < 3",
+    'sql_update': "SELECT n_nationkey, CASE WHEN n_regionkey = 1 OR n_nationkey IN (3, 4) THEN concat(n_name, '!') ELSE n_name END n_name, CAST(CASE WHEN n_regionkey = 1 OR n_nationkey IN (3, 4) THEN n_regionkey + 1 ELSE n_regionkey END AS INTEGER) n_regionkey FROM nation",
+    'sql_delete': 'SELECT * FROM nation WHERE NOT (n_regionkey = 1 AND n_nationkey > 5)',
+    'sql_select_stored': 'SELECT n_regionkey, COUNT(*) n FROM nation WHERE n_nationkey <> 7 GROUP BY n_regionkey HAVING COUNT(*) > 1',
     'flagship': 'SELECT l_returnflag, l_linestatus, COUNT(*) n, CAST(SUM(CAST(l_quantity AS DECIMAL(18,2))) AS DECIMAL(28,2)) sum_qty, AVG(CAST(l_quantity AS BIGINT)) avg_qty, MIN(l_extendedprice) min_price, MAX(l_extendedprice) max_price FROM lineitem WHERE l_quantity > 10 GROUP BY l_returnflag, l_linestatus HAVING COUNT(*) > 0 ORDER BY l_returnflag DESC, l_linestatus',
     'str_concat': "SELECT p_partkey, CONCAT(p_brand, ':', p_type) v FROM part",
     'str_ascii': 'SELECT p_partkey, CAST(ASCII(p_type) AS INTEGER) v FROM part',

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -20,3 +22,15 @@ def session(app: str = "relspark", master: str | None = None, **settings) -> Spa
     for key, value in {**SETTINGS, **{k.replace("__", "."): v for k, v in settings.items()}}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that driver and executors share: spark.checkpoint.dir; where that is unset, a session of one process gets its own."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"spark.checkpoint.dir has to name a folder that all machines of {master} share")
+        path = f"file://{tempfile.mkdtemp(prefix='relspark-')}"
+        spark.conf.set("spark.checkpoint.dir", path)
+    return path.rstrip("/")

@@ -2,7 +2,8 @@
 
 A table is a folder with data files and numbered manifests; the manifest with the highest number is the table. Every change
 writes new files and then creates the next manifest, which fails if another writer was first; readers of an older snapshot
-are not disturbed. Files go through Hadoop's file systems, so the root may be any path that Spark reads.
+are not disturbed. Files go through Hadoop's file systems. Two writers at once need one whose rename fails where the target exists (local disks, HDFS); on
+an object store without such a rename a database takes one writer at a time.
 """
 
 from __future__ import annotations
@@ -138,6 +139,12 @@ class Table:
     def columns(self) -> list[tuple[str, str, bool]]:
         return [(c.name, c.type, c.nullable) for c in self.definition.columns]
 
+    def described(self) -> list[tuple[str, str, bool, int | None, list[int]]]:
+        """Per column: name, type, whether it takes NULL, its place in the clustered key, and which of the unique keys it is in."""
+        d = self.definition
+        place = {c: i for i, c in enumerate(d.clustered)}
+        return [(c.name, c.type, c.nullable, place.get(c.name), [i for i, k in enumerate(d.unique) if c.name in k]) for c in d.columns]
+
     def typed(self, rows: Sequence[Sequence[Any]]) -> DataFrame:
         """Rows of text (or None), every column given, as the table's types."""
         d = self.definition
@@ -172,11 +179,19 @@ class Table:
     def truncate(self) -> None:
         self._commit([])
 
+    def compact(self) -> None:
+        """All rows as one write, so that the clustered order, which every insert keeps for its own rows only, holds for the whole table again."""
+        if len(self.definition.data) > 1:
+            self._commit([self._write(self.rows())])
+
     def vacuum(self) -> None:
-        """Removes data files of older snapshots."""
-        for name in self.database.files.names(f"{self.folder}/data"):
-            if name not in self.definition.data:
-                self.database.files.drop(f"{self.folder}/data/{name}")
+        """Removes older snapshots and the data files that only they name. Files of no snapshot may be another writer's and stay."""
+        files, newest = self.database.files, f"{self.definition.version:08d}.json"
+        for name in files.names(f"{self.folder}/meta"):
+            if re.fullmatch(r"\d{8}\.json", name) and name < newest:
+                for part in set(TableDef.parsed(files.read(f"{self.folder}/meta/{name}")).data) - set(self.definition.data):
+                    files.drop(f"{self.folder}/data/{part}")
+                files.drop(f"{self.folder}/meta/{name}")
 
     def _cast(self, rows: DataFrame) -> DataFrame:
         d = self.definition
@@ -199,7 +214,10 @@ class Table:
         path = f"v{self.definition.version + 1:08d}-{uuid.uuid4().hex}"
         if self.definition.clustered:
             rows = rows.repartitionByRange(*self.definition.clustered).sortWithinPartitions(*self.definition.clustered)
-        rows.write.parquet(f"{self.folder}/data/{path}")
+        writer = rows.write
+        for column in {k[0] for k in self.definition.unique}:  # a lookup by a unique key skips row groups that can't hold it
+            writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
+        writer.parquet(f"{self.folder}/data/{path}")
         return path
 
     def _commit(self, data: list[str]) -> None:

@@ -51,5 +51,5 @@ def try_coerced(column: Column, literal: str) -> Column:
     if literal == "Bool":
         return F.when(column == "1", True).when(column == "0", False)
     if literal == "DateTime":
-        return F.expr("null").cast("timestamp_ntz") if column is None else F.try_to_timestamp(column, F.lit(DATETIME_FORMAT)).cast("timestamp_ntz")
+        return F.try_to_timestamp(column, F.lit(DATETIME_FORMAT)).cast("timestamp_ntz")
     return column.try_cast(kind)
