@@ -1,5 +1,6 @@
 """Quality rules, URL filters and personal data: native expressions against plain Python."""
 
+import functools
 import hashlib
 import random
 import re
@@ -89,6 +90,7 @@ def luhn(digits):
     return total % 10 == 0
 
 
+@functools.cache
 def base(text):
     out = []
     for kind, pattern in PLAIN.items():
