@@ -2,7 +2,7 @@
 
 A table is a folder with data files and numbered manifests; the manifest with the highest number is the table. Every change
 writes new files and then creates the next manifest, which fails if another writer was first; readers of an older snapshot
-are not disturbed. Files go through Hadoop's file systems. Two writers at once need one whose rename fails where the target exists (local disks, HDFS); on
+are not disturbed. An update or a delete rewrites the files that hold a row it hits, and no others. Files go through Hadoop's file systems. Two writers at once need one whose rename fails where the target exists (local disks, HDFS); on
 an object store without such a rename a database takes one writer at a time.
 """
 
@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from ..operators import dml
 from ..operators.constraints import ConstraintError, check_rows
-from ..operators.predicates import Predicate
+from ..operators.predicates import Predicate, as_column
 from ..types import coerced, spark_type
 
 NAME = re.compile(r"[A-Za-z][A-Za-z0-9_]*")
@@ -131,10 +131,14 @@ class Table:
 
     def rows(self) -> DataFrame:
         """The snapshot's rows. Filters and columns reach the Parquet scan."""
-        d = self.definition
-        if not d.data:
-            return self.spark.createDataFrame([], d.schema)
-        return self.spark.read.schema(d.schema).parquet(*[f"{self.folder}/data/{p}" for p in d.data])
+        return self._read(self.definition.data)
+
+    def _read(self, data: Sequence[str]) -> DataFrame:
+        """The rows of some of the snapshot's folders and files."""
+        schema = self.definition.schema
+        if not data:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*[f"{self.folder}/data/{p}" for p in data])
 
     def columns(self) -> list[tuple[str, str, bool]]:
         return [(c.name, c.type, c.nullable) for c in self.definition.columns]
@@ -158,23 +162,45 @@ class Table:
     def insert(self, rows: DataFrame | Sequence[Sequence[Any]]) -> None:
         """All rows or none; NULLs and duplicate keys are errors."""
         new = self._cast(rows if isinstance(rows, DataFrame) else self.typed(rows))
-        path = self._write(new)
-        stored = self.spark.read.schema(self.definition.schema).parquet(f"{self.folder}/data/{path}")
-        try:
-            check_rows(stored, self.rows() if self.definition.data else None, self.definition.not_null, self.definition.keys)
-            self._commit([*self.definition.data, path])
-        except Exception:
-            self.database.files.drop(f"{self.folder}/data/{path}")
-            raise
+        self._add(new, self.definition.data, self.definition.not_null, self.definition.keys)
 
     def update(self, values: dict[str, Any], where: Predicate | SparkColumn | None = None) -> None:
-        self._replace(dml.update(self.rows(), values, where))
+        """Where no row is hit, the snapshot stays. Only constraints on changed columns are checked, for the rewritten rows."""
+        d = self.definition
+        dml.update(self.rows(), values, where)  # unknown columns fail whether or not a row is hit
+        hit, rest = self._parted(where)
+        if hit:
+            keys = [k for k in d.keys if set(k) & set(values)]
+            self._add(dml.update(self._read(hit), values, where), rest, [c for c in d.not_null if c in values], keys)
 
     def delete(self, where: Predicate | SparkColumn | None = None) -> None:
         if where is None:
             self.truncate()
-        else:
-            self._replace(dml.delete(self.rows(), where))
+            return
+        hit, rest = self._parted(where)
+        if hit:
+            self._add(dml.delete(self._read(hit), where), rest, [], [])
+
+    def _parted(self, where: Predicate | SparkColumn | None) -> tuple[list[str], list[str]]:
+        """The files with a row that the predicate hits, found by a scan of its columns alone, and all other data of the snapshot.
+
+        The driver gets the names of those files and those beside them in their folders. A folder that isn't hit stays one entry of the manifest.
+        """
+        data = self.definition.data
+        if where is None or not data:
+            return data, []
+        rows = self.rows().where(as_column(where)).select(F.col("_metadata.file_path").alias("path")).distinct()
+        hit = {"/".join(r.path.split("/")[-2:]) for r in rows.collect()}
+        folders, rest = {h.split("/")[0] for h in hit}, []
+        for entry in data:
+            if "/" in entry or entry not in folders:
+                rest += [entry] if entry not in hit else []
+            else:
+                rest += [f for f in self._files_of(entry) if f not in hit]
+        return sorted(hit), rest
+
+    def _files_of(self, folder: str) -> list[str]:
+        return [f"{folder}/{n}" for n in self.database.files.names(f"{self.folder}/data/{folder}") if not n.startswith(("_", "."))]
 
     def truncate(self) -> None:
         self._commit([])
@@ -186,11 +212,16 @@ class Table:
 
     def vacuum(self) -> None:
         """Removes older snapshots and the data files that only they name. Files of no snapshot may be another writer's and stay."""
-        files, newest = self.database.files, f"{self.definition.version:08d}.json"
+        files, newest, held = self.database.files, f"{self.definition.version:08d}.json", set(self.definition.data)
+        folders = {f.split("/")[0] for f in held if "/" in f}
         for name in files.names(f"{self.folder}/meta"):
             if re.fullmatch(r"\d{8}\.json", name) and name < newest:
-                for part in set(TableDef.parsed(files.read(f"{self.folder}/meta/{name}")).data) - set(self.definition.data):
-                    files.drop(f"{self.folder}/data/{part}")
+                for part in set(TableDef.parsed(files.read(f"{self.folder}/meta/{name}")).data) - held:
+                    if part in folders:  # the newest snapshot names some of its files
+                        for f in set(self._files_of(part)) - held:
+                            files.drop(f"{self.folder}/data/{f}")
+                    else:
+                        files.drop(f"{self.folder}/data/{part if part.split('/')[0] in folders else part.split('/')[0]}")
                 files.drop(f"{self.folder}/meta/{name}")
 
     def _cast(self, rows: DataFrame) -> DataFrame:
@@ -199,12 +230,12 @@ class Table:
             raise ConstraintError(f"columns {rows.columns} are not those of {self.name}")
         return rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in d.schema])
 
-    def _replace(self, rows: DataFrame) -> None:
+    def _add(self, rows: DataFrame, data: list[str], not_null: list[str], keys: list[list[str]]) -> None:
+        """A snapshot of ``data`` and the rows, if these hold the constraints among themselves and beside ``data``."""
         path = self._write(rows)
-        stored = self.spark.read.schema(self.definition.schema).parquet(f"{self.folder}/data/{path}")
         try:
-            check_rows(stored, None, self.definition.not_null, self.definition.keys)
-            self._commit([path])
+            check_rows(self._read([path]), self._read(data) if data else None, not_null, keys)
+            self._commit([*data, path])
         except Exception:
             self.database.files.drop(f"{self.folder}/data/{path}")
             raise

@@ -151,6 +151,63 @@ def test_compaction_restores_the_order(db, parcels):
     assert [r[0] for r in parcels.rows().coalesce(1).select("ParcelNo").collect()] == sorted(r[0] for r in before)
 
 
+@pytest.fixture
+def spread(spark, db):
+    """1,000 rows in one write of several files, in the order of the key."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    t = db.create_table("Spread", [Column("k", "Int", False), Column("v", "Int")], clustered=["k"], unique=[["v"]])
+    t.insert(spark.range(1000).selectExpr("id k", "id + 5000 v"))
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(t.rows().inputFiles()) == 4
+    return t
+
+
+def test_changes_rewrite_only_files_they_hit(db, spread):
+    before, version = set(spread.rows().inputFiles()), spread.definition.version
+    spread.update({"v": -1}, Cond("k", "=", 3))
+    assert len(before & set(spread.rows().inputFiles())) == 3
+    spread.delete(F.col("k").between(990, 994))
+    assert len(before & set(spread.rows().inputFiles())) == 2
+    want = [(k, -1 if k == 3 else k + 5000) for k in range(1000) if not 990 <= k <= 994]
+    assert sorted(map(tuple, db.open_table("Spread").rows().collect())) == want
+    spread.update({"v": -2}, Cond("k", "=", 5000))
+    spread.delete(Cond("k", "=", 5000))
+    assert spread.definition.version == version + 2  # nothing hit, nothing written
+    assert sorted(map(tuple, db.open_table("Spread", version).rows().collect())) == [(k, k + 5000) for k in range(1000)]
+    spread.update({"v": F.col("v") + 1})
+    spread.insert([["990", "7"]])
+    assert len(spread.definition.data) == 2
+    assert spread.rows().count() == 996
+
+
+def test_changed_keys_meet_those_of_other_files(db, spread):
+    held = db.files.names(f"{spread.folder}/data")
+    for values in ({"v": 5900}, {"k": 900}):
+        with pytest.raises(ConstraintError, match="duplicate key"):
+            spread.update(values, Cond("k", "=", 3))
+    with pytest.raises(ConstraintError, match="duplicate key"):
+        spread.update({"v": None}, Cond("k", "<", 2))
+    spread.update({"v": None}, Cond("k", "=", 3))
+    with pytest.raises(ConstraintError, match="duplicate key"):
+        spread.update({"v": None}, Cond("k", "=", 990))  # a null is a value like any other in a key
+    with pytest.raises(ConstraintError, match="NOT NULL"):
+        spread.update({"k": None}, Cond("k", "=", 990))
+    assert len(db.files.names(f"{spread.folder}/data")) == len(held) + 1
+    assert spread.rows().where("v IS NULL").count() == 1
+
+
+def test_vacuum_of_partly_held_folders(db, spread):
+    first = spread.definition.data[0]
+    spread.update({"v": -1}, Cond("k", "=", 3))
+    spread.vacuum()
+    assert len([n for n in db.files.names(f"{spread.folder}/data/{first}") if n.endswith(".parquet")]) == 3
+    assert db.open_table("Spread").rows().count() == 1000
+    spread.compact()
+    spread.vacuum()
+    assert db.files.names(f"{spread.folder}/data") == spread.definition.data
+    assert spread.rows().agg(F.sum("v")).first()[0] == sum(range(5000, 6000)) - 5003 - 1
+
+
 def test_described(parcels):
     assert parcels.described()[:3] == [("ParcelNo", "Int", False, 0, [0]), ("Depot", "Int", False, None, [0]), ("Label", "UnicodeString", True, None, [])]
     assert parcels.described()[4][3] == 1
